@@ -166,13 +166,18 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 80, warm: in
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: dict[int, int] | None = None) -> tuple[list, list]:
     """Texts and labels of a bounded sample: per label, the rows whose ids hash lowest."""
-    found = docs.select("doc_id", "text").join(labels.select("doc_id", F.col(column).cast("int").alias("label")), "doc_id")
-    texts, marks = [], []
+    spark = docs.sparkSession
+    # ids first: only the texts of the sample, whose size is bounded, leave the scan
+    found = docs.select("doc_id").join(labels.select("doc_id", F.col(column).cast("int").alias("label")), "doc_id").distinct()
+    marks = []
     for label, most in (sample or SAMPLE).items():
-        got = found.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(most).collect()
-        texts += [r[0] for r in got]
-        marks += [label] * len(got)
-    return texts, marks
+        marks += found.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    if not marks:
+        return [], []
+    chosen = spark.createDataFrame(marks, found.schema)
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").collect()
+    got.sort(key=lambda r: (r["label"], r["doc_id"]))
+    return [r["text"] for r in got], [r["label"] for r in got]
 
 
 def scorer(model: Model):
