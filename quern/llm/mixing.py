@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD, text_of, written
 
 #: Rows that one window group holds, about; sources are cut into so many key ranges.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 
 
 def quality(text):
