@@ -22,8 +22,6 @@ other columns are ignored. Shingles are compared by 56 bits of hash and a class.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +35,7 @@ from .components import components
 #: Counters of the sketch, and how many of them are a row when they are summed.
 COUNTERS, SLICE = 1 << 20, 1 << 14
 #: Posting lists up to this length give pairs, longer ones stars.
-SHORT = 8
+SHORT = 32
 #: Shingles that the sketch counts more often are dealt to several tasks, about so many rows each.
 HOT = 1 << 16
 #: Bits of the bitmap that lets the members of loose groups pass.
@@ -214,13 +212,14 @@ def _postings(rows: DataFrame, likeness: int) -> DataFrame:
         start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))))
         size = np.diff(np.append(start, len(token)))
         salted = salt[start] >= 0
-        left, right = [], []
-        for k in range(2, SHORT + 1):
-            at = start[(size == k) & ~salted & (not long)]
-            for i, j in combinations(range(k), 2):
-                left.append(at + i)
-                right.append(at + j)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        short = (size > 1) & (size <= SHORT) & ~salted & (not long)
+        for k in np.unique(size[short]):
+            i, j = np.triu_indices(k, 1)
+            at = start[short & (size == k)][:, None]
+            left.append((at + i).ravel())
+            right.append((at + j).ravel())
+        a, b = np.concatenate(left), np.concatenate(right)
         near = 100 * np.minimum(n[a], n[b]) >= likeness * np.maximum(n[a], n[b])
         a, b = a[near], b[near]
         kind = np.zeros(len(a), np.int64)
