@@ -1,0 +1 @@
+"""Slicing, filtering and aggregation of logs, and corpus operators, on Spark."""
