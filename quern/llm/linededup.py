@@ -16,21 +16,24 @@ pass through, but for ``n_lines`` and ``removed_lines``, which are replaced.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINES = 3
+#: What is trimmed: the white space of Java's ``\\s``.
+_WHITE = " \t\n\x0b\f\r"
 
 
 def _numbered(text):
-    """The lines that are not blank, trimmed, each with its position among all lines."""
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")).alias("x")))
-    return F.filter(lines, lambda s: s["x"] != "")
+    """The lines that are not blank, trimmed."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    return F.filter(lines, lambda x: x != "")
 
 
 def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """doc_id, row (a hash of id and text), p (number of the window's first line that isn't blank), h."""
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.transform(_numbered(F.col("text")), lambda s: s["x"]).alias("_x"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), _numbered(F.col("text")).alias("_x"))
     rows = rows.where(F.size("_x") >= lines)
     hashes = F.transform(F.sequence(F.lit(1), F.size("_x") - (lines - 1)), lambda p: F.xxhash64(*(F.element_at("_x", p + F.lit(k)) for k in range(lines))))
     return rows.select("doc_id", "row", F.posexplode(hashes).alias("p", "h"))
@@ -50,20 +53,34 @@ def repeated(docs: DataFrame, lines: int = LINES) -> DataFrame:
     return spans.select("doc_id", "row", covered.alias("covered"))
 
 
+def without(texts: pa.Array, covered: pa.Array) -> pa.Array:
+    """Each text without its covered lines, by their numbers among the lines that aren't blank."""
+    out = []
+    for text, gone in zip(texts.to_pylist(), covered.to_pylist()):
+        if text is None or gone is None:
+            out.append(text)
+            continue
+        drop, kept, n = set(gone), [], 0
+        for line in text.split("\n"):
+            blank = not line.strip(_WHITE)
+            if blank or n not in drop:
+                kept.append(line)
+            n += not blank
+        out.append("\n".join(kept))
+    return pa.array(out, pa.string())
+
+
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """The documents without later occurrences; n_lines and removed_lines count lines that aren't blank."""
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
     gone = repeated(docs, lines).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "covered")
     rows = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
     rows = rows.join(gone, (F.col("_h") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    number = _numbered(F.col("text"))
-    # positions of all lines to drop: those of the covered ones among the lines that aren't blank
-    drop = F.transform("covered", lambda p: F.get(number, p)["i"])
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    rows = rows.withColumn("_drop", F.when(F.col("covered").isNotNull(), drop))
+    cut = F.arrow_udf(without, "string")  # sees the texts that lose lines, and nulls for the others
+    hit = F.col("covered").isNotNull()
     return rows.select(
         *keep,
-        F.when(F.col("covered").isNull(), F.col("text")).otherwise(text).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(number)).alias("n_lines"),
-        F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).alias("removed_lines"),
+        F.coalesce(cut(F.when(hit, F.col("text")), F.col("covered")), F.col("text")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(_numbered(F.col("text")))).alias("n_lines"),
+        F.when(hit, F.size("covered")).otherwise(0).alias("removed_lines"),
     )
