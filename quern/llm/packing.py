@@ -107,18 +107,19 @@ def patterns(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
     """Least squares under x >= 0 by Lawson and Hanson's active sets, on the normal equations."""
-    gram, target = a.T @ a, a.T @ b
+    target = a.T @ b
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
     for _ in range(most or 3 * a.shape[0]):
-        slope = target - gram[:, passive] @ x[passive]
+        slope = target - a.T @ (a[:, passive] @ x[passive])
         slope[passive] = -np.inf
         if not len(slope) or slope.max() <= tolerance:
             break
         passive[slope.argmax()] = True
         while True:
             on = np.flatnonzero(passive)
-            s = np.linalg.lstsq(gram[np.ix_(on, on)], target[on], rcond=None)[0]
+            part = a[:, on]
+            s = np.linalg.lstsq(part.T @ part, target[on], rcond=None)[0]
             if (s > 0).all():
                 x[:] = 0
                 x[on] = s
