@@ -24,6 +24,8 @@ _PLACE = 28
 _LAST = (1 << _PLACE) - 1
 #: Documents that share a range of ids, about, when each is given its neighbour.
 RANGE_ROWS = 2_000
+#: Ranges up to which a row of two numbers for each is broadcast.
+SENT = 100_000
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
@@ -77,8 +79,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / F.greatest(either, F.lit(1)))
 
 
-def _ranges(docs: DataFrame, group_rows: int) -> Column:
-    """Number of the id range of a row; higher ids, higher numbers; null ids are last at -1.
+def _ranges(docs: DataFrame, group_rows: int) -> tuple[Column, int]:
+    """Number of the id range of a row (higher ids, higher numbers; null ids are last at -1), and how many there are at most.
 
     Up to 10,000 quantiles of the ids are literals; beyond so many ranges, each stretch
     between two quantiles is cut evenly.
@@ -86,7 +88,7 @@ def _ranges(docs: DataFrame, group_rows: int) -> Column:
     ids = docs.select(F.col("doc_id").cast("double").alias("x")).where("x is not null")
     low, high, count = ids.agg(F.min("x"), F.max("x"), F.count("x")).first()
     if not count:
-        return F.lit(-1).cast("long")
+        return F.lit(-1).cast("long"), 1
     ranges = -(-count // group_rows)
     parts = min(ranges, 10_000)
     cuts = sorted({low, *(ids.approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else [])})
@@ -96,7 +98,7 @@ def _ranges(docs: DataFrame, group_rows: int) -> Column:
     reached = lambda n: F.coalesce(F.get(bounds, n - 1) <= x, F.lit(False))
     n = F.aggregate(steps, F.lit(0), lambda n, step: F.when(reached(n + step), n + step).otherwise(n))
     place = F.transform(F.array(n - 1), lambda k: k * fine + F.least(F.lit(fine - 1), F.floor((x - F.get(bounds, k)) / (F.get(ends, k) - F.get(bounds, k)) * fine).cast("int")))[0]
-    return F.when(x.isNull(), F.lit(-1)).otherwise(place).cast("long")
+    return F.when(x.isNull(), F.lit(-1)).otherwise(place).cast("long"), len(cuts) * fine + 1
 
 
 def with_next(docs: DataFrame, group_rows: int = RANGE_ROWS) -> DataFrame:
@@ -106,7 +108,7 @@ def with_next(docs: DataFrame, group_rows: int = RANGE_ROWS) -> DataFrame:
     within a range of ids finds the neighbour; each range also gets, as a guest, the
     first document of the next range that has rows, so texts are shuffled once.
     """
-    number = _ranges(docs, group_rows)
+    number, ranges = _ranges(docs, group_rows)
     rows = docs.select(number.alias("range"), "doc_id", text_of(docs).alias("text"), F.lit(0).alias("guest"))
     heads = docs.select(number.alias("range"), "doc_id").groupBy("range").agg(F.max("doc_id").alias("head"))
     down = Window.orderBy(F.desc("range"))
@@ -114,6 +116,8 @@ def with_next(docs: DataFrame, group_rows: int = RANGE_ROWS) -> DataFrame:
     # the next range exists even if its head is the null id, so lead() looks for the range
     follows = F.when(F.lead("range").over(down).isNotNull(), F.lead("head").over(down)).otherwise(F.first("head").over(every))
     heads = heads.select(F.col("range").alias("of"), follows.alias("head"))
+    if ranges <= SENT:  # a row for each range: of a checked size
+        heads = F.broadcast(heads)
     guests = docs.select(F.col("doc_id").alias("id"), text_of(docs).alias("t")).join(heads, F.col("id").eqNullSafe(F.col("head")))
     guests = guests.groupBy("of", "head").agg(F.min("t").alias("t"))
     rows = rows.unionByName(guests.select(F.col("of").alias("range"), F.col("head").alias("doc_id"), F.col("t").alias("text"), F.lit(1).alias("guest")))
