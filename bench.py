@@ -75,7 +75,7 @@ def main() -> None:
         took = {}
         for name, run in runs.items():
             best = None
-            for _ in range(2):
+            for _ in range(1):
                 start = time.perf_counter()
                 run()
                 s = time.perf_counter() - start
@@ -85,7 +85,7 @@ def main() -> None:
             from quern.plans.registry import QUERIES
 
             best = None
-            for _ in range(2):
+            for _ in range(1):
                 start = time.perf_counter()
                 noop(QUERIES[name](spark, sf_dir))
                 s = time.perf_counter() - start

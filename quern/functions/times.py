@@ -31,7 +31,9 @@ def parse_ns(text: Column) -> Column:
 def time_of(pairs: Column) -> Column:
     """Time of a line: of its first ``time`` or ``ts`` pair, which alone decides."""
     raw = F.get(F.filter(pairs, lambda p: p["k"].isin("time", "ts")), F.lit(0))["v"]
-    return parse_ns(strip_quotes(raw))
+    # bound once: the grammar looks at the text many times
+    text = F.transform(F.array(raw), strip_quotes)
+    return F.transform(text, parse_ns)[0]
 
 
 def format_ns(ns: Column, zone: str = "UTC") -> Column:
