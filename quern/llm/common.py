@@ -91,8 +91,8 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _U(_MULT))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _UP = _powers(1 << 16, _BASE)
 _DOWN = _powers(1 << 16, pow(_BASE, -1, 1 << 64))
@@ -110,7 +110,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint64)
     a = np.frombuffer(text.lower(), np.uint8)  # bytes.lower() touches A-Z only
-    gap = _SPACE[a]
+    gap = SPACE[a]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     start, end = edge[0::2], edge[1::2]
     if not len(start):

@@ -6,15 +6,17 @@ estimate, from counts over all training texts, is weighed against the product of
 children's weighted estimates, so every prediction mixes all depths. The code length per
 byte is ``-score * log2(10) / (n_bytes + 1)``.
 
-Counting: tasks count distinct byte strings of ``DEPTH + 1``; the strings are dealt out by
-the two bytes before the last, so the trees below depth 2 are built exactly, each in one
-task; the upper two levels are at most 65,536 rows. Scoring needs each node's estimate
-and weight: the ``NODES`` nodes of most counts are sent to the tasks in two tables of
-fixed size, and a context without a node there predicts as the next shorter one does.
-
-The base score needs each word's training count: tasks send the distinct words of a
-chunk, with their postings in the chunk, to the bucket of their hash, which adds up the
-counts over all chunks and returns sums by document.
+Texts are cut into chunks of ``CHUNK`` bytes. A chunk sends its distinct byte strings of
+``DEPTH + 1``, with their counts in its training texts, to the buckets of the two bytes
+before the last, and its distinct words to the buckets of their hashes. A bucket adds up the
+counts over all chunks and builds every tree below depth 2 whole; the upper two levels are
+at most 65,792 nodes, gathered and broadcast. Then the chunks ask: a bucket answers each
+with the log probabilities of its strings, or the counts of its words, and the chunk sums
+the answers over its texts. No node and no word is left out at any size. A bucket reads the
+questions as a stream, so its memory is its own distinct strings; a chunk asks for a string
+or word once, however frequent, so none of them makes a bucket hot.
+
+A context that the training texts don't have predicts as the next shorter one does.
 
 Edge cases: a null text is empty and has the end alone; without training texts all bits
 have probability 1/2; repeated rows are scored and learned from as often as they come; a
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mixed, partitions, word_hashes, written
+from .common import SPACE, mixed, partitions, word_hashes, written
 
 DEPTH = 5
-#: Nodes that the scoring tables hold at most, and slots of each of the two tables.
-NODES, SLOTS = 2_000_000, 1 << 21
-#: Bytes of text that are turned into strings at once, and in a chunk of words.
-BLOCK, CHUNK = 2 << 20, 6 << 20
+#: Bytes of text that are turned into strings at once, and in a chunk.
+BLOCK, CHUNK = 2 << 20, 12 << 20
+#: Keys in a row of totals, questions answered at once, and answers that a bucket remembers.
+ROW, ASKED, MEMO = 200_000, 300_000, 2_000_000
 _U = np.uint64
 _END = 0xFF  # in no UTF-8 text
 _END_WORD = _U(0x5851F42D4C957F2D)
@@ -97,11 +99,10 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def blocks(texts: list[str | None], size: int = BLOCK):
-    """Lists of the lower-cased UTF-8 of texts, of about ``size`` bytes; a longer text is alone."""
+def blocks(texts: list[bytes], size: int = BLOCK):
+    """Lists of texts of about ``size`` bytes; a longer text is alone."""
     part, held = [], 0
-    for t in texts:
-        b = (t or "").encode().lower()
+    for b in texts:
         if part and held + len(b) > size:
             yield part
             part, held = [], 0
@@ -176,125 +177,39 @@ def climb(level: tuple[np.ndarray, ...], depth: int, top: int):
         depth -= 1
 
 
-# ---------------------------------------------------------------- counting on the cluster
-
-
-def _counted(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
-    """(bucket, keys, counts) of the strings of all texts."""
+class Upper:
+    """Estimates and weights of the nodes of depths 0 and 1; NaN where there is none."""
 
-    def run(batches):
-        keys, counts, held = [], [], 0
-        for batch in batches:
-            for part in blocks(batch.column(0).to_pylist()):
-                k, c = distinct(strings(part, depth)[0])
-                keys.append(k)
-                counts.append(c)
-                held += len(k)
-                if held > 3_000_000:
-                    k, c = merged(keys, counts)
-                    if len(k) > 2_000_000:
-                        yield dealt(k, c)
-                        k, c = k[:0], c[:0]
-                    keys, counts, held = [k], [c], len(k)
-        k, c = merged(keys, counts)
-        if len(k):
-            yield dealt(k, c)
-
-    def dealt(k, c):
-        bucket = (mixed((k >> _U(8)) & _U(0xFFFF)) % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        k, c, bucket = k[order], c[order], bucket[order]
-        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = np.append(cut[1:], len(k))
-        return pa.RecordBatch.from_pydict(
-            {
-                "bucket": pa.array(bucket[cut], pa.int32()),
-                "keys": pa.array([k[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                "counts": pa.array([c[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, ends)], pa.binary()),
-            }
-        )
-
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary")
-
-
-def _trees(counted: DataFrame, buckets: int, depth: int) -> DataFrame:
-    """Rows (depth, key, zeros, ones, x): nodes from depth 2 with their weight, and for depth 1 the sums over children."""
-
-    def run(batches):
-        at, keys, counts, held = None, [], [], 0
-        for batch in batches:
-            for b, k, c in zip(*(col.to_pylist() for col in batch.columns)):
-                if b != at:
-                    yield from grown(keys, counts)
-                    at, keys, counts, held = b, [], [], 0
-                keys.append(np.frombuffer(k, np.uint64))
-                counts.append(np.frombuffer(c, np.uint32).astype(np.int64))
-                held += len(keys[-1])
-                if held > 4_000_000 and len(keys) > 1:
-                    k, c = merged(keys, counts)
-                    keys, counts, held = [k], [c], 0
-        yield from grown(keys, counts)
+    def __init__(self):
+        self.dense = [np.full((256 << 8 * d, 2), np.nan, np.float32) for d in (0, 1)]
 
-    def grown(keys, counts):
-        if not keys:
-            return
-        for level in climb(choices(*merged(keys, counts)), depth, 2):
-            d, k, z, o, x = level if len(level) == 5 else (1, *level)
-            if d > 2:  # a node seen once says nothing that its parent does not
-                k, z, o, x = (v[z + o > 1] for v in (k, z, o, x))
-            for a in range(0, len(k), 200_000):
-                part = slice(a, a + 200_000)
-                yield pa.RecordBatch.from_pydict(
-                    {"depth": pa.array(np.full(len(k[part]), d), pa.int32()), "key": pa.array(k[part].view(np.int64)), "zeros": z[part], "ones": o[part], "x": x[part]}
-                )
+    def set(self, depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> None:
+        self.dense[depth][key.astype(np.int64)] = np.stack([(ones + 0.5) / (zeros + ones + 1), weight], 1)
 
-    rows = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(run, "depth int, key long, zeros double, ones double, x double")
+    def node(self, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        v = self.dense[depth][key.astype(np.int64)]
+        return ~np.isnan(v[:, 0]), v
 
 
-class Model:
-    """Estimates and weights of nodes: dense for depths 0 and 1, else in two tables of ``SLOTS`` slots."""
+class Trees:
+    """All nodes of depth 2 and more of one bucket, above them the upper ones; estimates of a one and weights."""
 
-    def __init__(self, depth: int = DEPTH):
-        self.depth = depth
-        self.dense = [np.full((256 << 8 * d, 2), np.nan, np.float32) for d in (0, 1)]
-        self.check = np.zeros((2, SLOTS), np.uint32)
-        self.value = np.zeros((2, SLOTS, 2), np.float32)
-        self.empty = True
-
-    @staticmethod
-    def _places(key: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
-        h = mixed(key + np.asarray(depth, np.uint64).reshape(-1) * _FIB)
-        slots = [(h & _U(SLOTS - 1)).astype(np.int64), ((h >> _U(21)) & _U(SLOTS - 1)).astype(np.int64)]
-        return slots, ((h >> _U(32)) | _U(1)).astype(np.uint32)
-
-    def set_dense(self, depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> None:
-        self.empty = False
-        self.dense[depth][key.astype(np.int64)] = np.stack([(ones + 0.5) / (zeros + ones + 1), weight], 1)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, upper: Upper):
+        self.depth, self.upper, self.levels = depth, upper, {}
+        if len(keys):
+            for level in climb(choices(keys, counts), depth, 2):
+                if len(level) == 5:
+                    d, k, z, o, w = level
+                    self.levels[d] = k, np.stack([(o + 0.5) / (z + o + 1), w], 1).astype(np.float32)
 
-    def add(self, depth: np.ndarray, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> None:
-        """Nodes in order of rising counts: of two for one slot the later stays, the other tries the second table."""
-        value = np.stack([(ones + 0.5) / (zeros + ones + 1), weight], 1).astype(np.float32)
-        slots, check = self._places(key, depth.astype(np.uint64))
-        left = np.arange(len(key))
-        for t in (0, 1):
-            owner = np.full(SLOTS, -1, np.int64)
-            owner[slots[t][left]] = left
-            got = owner[owner >= 0]
-            self.check[t][slots[t][got]], self.value[t][slots[t][got]] = check[got], value[got]
-            left = left[owner[slots[t][left]] != left]
-
-    def _node(self, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(found, estimate of a one and weight)."""
+    def node(self, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if depth < 2:
-            v = self.dense[depth][key.astype(np.int64)]
-            return ~np.isnan(v[:, 0]), v
-        slots, check = self._places(key, depth)
-        first = self.check[0][slots[0]] == check
-        second = ~first & (self.check[1][slots[1]] == check)
-        v = self.value[0][slots[0]]
-        v[second] = self.value[1][slots[1][second]]
-        return first | second, v
+            return self.upper.node(key, depth)
+        if depth not in self.levels:
+            return np.zeros(len(key), bool), np.zeros((len(key), 2), np.float32)
+        keys, values = self.levels[depth]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return keys[at] == key, values[at]
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         """Log10 of the probability of the last byte of each string after the others."""
@@ -305,7 +220,7 @@ class Model:
             bit = ((byte >> _U(7 - j)) & _U(1)).astype(bool)
             p, known = np.full(len(g), 0.5), np.zeros(len(g), bool)
             for d in range(self.depth, -1, -1):
-                found, v = self._node(key & _U((1 << 8 * d + 8) - 1), d)
+                found, v = self.node(key & _U((1 << 8 * d + 8) - 1), d)
                 kt = np.where(bit, v[:, 0], 1 - v[:, 0]).astype(np.float64)
                 mix = np.where(known, v[:, 1] * kt + (1 - v[:, 1]) * p, kt)
                 p = np.where(found, mix, p)
@@ -314,200 +229,305 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, depth: int = DEPTH) -> Model:
-    """The model of all texts of ``docs``."""
-    buckets = max(64, partitions(docs.sparkSession))
-    nodes = written(_trees(_counted(docs, buckets, depth), buckets, depth), "nodes")
-    model = Model(depth)
-    low = nodes.where("depth = 1").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "x"))).toPandas()
-    if not len(low):
-        return model
-    low = low.sort_values("key")
-    level = (low["key"].to_numpy().view(np.uint64), *(low[c].to_numpy() for c in ("zeros", "ones", "x")))
-    for got in climb(level, 1, 0):
-        if len(got) == 5:
-            model.set_dense(*got)
-    # the least count from which all nodes fit, by a histogram of a hundred or so rows
-    step = F.floor(8 * F.log2(F.col("zeros") + F.col("ones"))).cast("int")
-    deep = nodes.where("depth > 1").withColumn("step", step)
-    total, least = 0, None
-    for s, n in sorted(deep.groupBy("step").count().collect(), reverse=True):
-        if total + n > NODES:
-            break
-        total, least = total + n, s
-    if least is None:
-        return model
-    t = deep.where(F.col("step") >= least).select("depth", "key", "zeros", "ones", "x").toArrow()
-    d, k, z, o, x = (t.column(i).to_numpy() for i in range(5))
-    order = np.lexsort((k, d, z + o))
-    model.add(*(v[order] for v in (d, k.view(np.uint64), z, o, x)))
-    return model
-
-
-# ---------------------------------------------------------------- scores
-
-
-def _chunks(docs: DataFrame, model: Model, buckets: int) -> DataFrame:
-    """From (doc_id, text, held): words of each chunk by bucket (kind 0), and its documents with their scores (kind 1)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+# ---------------------------------------------------------------- on the cluster
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array as its compressed bytes, all first bytes of its values first."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(b, n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, one after the other, and the number of words of each."""
+    joined = b" ".join([*texts, b""])
+    gap = np.concatenate(([True], SPACE[np.frombuffer(joined, np.uint8)]))
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return word_hashes(joined), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+class Found:
+    """Values by key, for keys of which each is known to be here: slots that one key each claims."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.rounds, factor, bits = [], _FIB, max(10, len(keys).bit_length() + 1)
+        while len(keys) > 1000 and len(self.rounds) < 4:
+            slot = ((keys * factor) >> _U(64 - bits)).astype(np.int64)
+            owner = np.zeros(1 << bits, np.int64)  # slots of no key have the first one and its value
+            owner[slot] = np.arange(len(keys))
+            self.rounds.append((factor, bits, keys[owner], values[owner]))
+            left = owner[slot] != np.arange(len(keys))
+            keys, values = keys[left], values[left]
+            factor = _U(int(factor) * int(_FIB) % 2**64 | 1)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def __getitem__(self, g: np.ndarray) -> np.ndarray:
+        out, left = np.zeros(len(g), self.values.dtype), np.arange(len(g))
+        for factor, bits, keys, values in self.rounds:
+            slot = ((g[left] * factor) >> _U(64 - bits)).astype(np.int64)
+            hit = keys[slot] == g[left]
+            out[left[hit]] = values[slot[hit]]
+            left = left[~hit]
+        if len(left):
+            out[left] = self.values[np.searchsorted(self.keys, g[left])]
+        return out
+
+
+STRINGS, WORDS, TEXTS = 0, 1, 2
+
+
+def _chunks(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """From (doc_id, text, held): each chunk's distinct strings and words by bucket with their training counts, and its texts."""
     of = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(of)
-    memo = 1 << 20
 
     def run(batches):
         from pyspark import TaskContext
 
-        m = sent.value
-        known = (np.full(memo, np.iinfo(np.uint64).max, np.uint64), np.zeros(memo))
-        chunk, ids, held, n_tokens, scores, words, size = TaskContext.get().partitionId() << 24, [], [], [], [], [], 0
+        chunk, ids, held, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
         for batch in batches:
-            flags = batch.column(2).to_pylist()
-            names = batch.column(0).to_pylist()
-            at = 0
-            for part in blocks(batch.column(1).to_pylist()):
-                scores += _score(m, part, known)
-                for text in part:
-                    w = np.append(word_hashes(text), _END_WORD)
-                    words.append(w)
-                    n_tokens.append(len(w))
-                    ids.append(names[at])
-                    held.append(flags[at])
-                    at += 1
-                    size += len(text)
-                if size > CHUNK or len(ids) > 30_000:
-                    yield from made(chunk, ids, held, n_tokens, scores, words)
-                    chunk, ids, held, n_tokens, scores, words, size = chunk + 1, [], [], [], [], [], 0
+            for i, t, h in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                b = (t or "").encode().lower()
+                if ids and (size + len(b) > CHUNK or len(ids) >= 100_000):
+                    yield made(chunk, ids, held, texts)
+                    chunk, ids, held, texts, size = chunk + 1, [], [], [], 0
+                ids.append(i)
+                held.append(h)
+                texts.append(b)
+                size += len(b)
         if ids:
-            yield from made(chunk, ids, held, n_tokens, scores, words)
-
-    def made(chunk, ids, held, n_tokens, scores, words):
-        word = np.concatenate(words)
-        doc = np.repeat(np.arange(len(ids)), n_tokens)
-        order = np.argsort(word, kind="stable")
-        word, doc = word[order], doc[order]
-        new_word = np.concatenate(([True], word[1:] != word[:-1]))
-        pair = np.flatnonzero(new_word | np.concatenate(([True], doc[1:] != doc[:-1])))
-        count = np.diff(np.append(pair, len(word)))
-        doc = doc[pair]
-        first = np.flatnonzero(new_word[pair])
-        word = word[pair][first]
-        train = np.add.reduceat(np.where(np.array(held)[doc], 0, count), first)
-        per_word = np.diff(np.append(first, len(pair)))
-        bucket = (((word >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
-        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = np.append(cut[1:], len(word))
-        lo, hi = first[cut], np.append(first[cut[1:]], len(pair))
-        raw = lambda x, kind, a, b: [x[i:j].astype(kind).tobytes() for i, j in zip(a, b)]
-        k = len(cut)
-        rows = {
-            "bucket": pa.array(np.append(bucket[cut], chunk % buckets), pa.int32()),
-            "chunk": pa.array(np.full(k + 1, chunk), pa.int64()),
-            "kind": pa.array([0] * k + [1], pa.int32()),
-            "words": pa.array([*raw(word, np.uint64, cut, ends), None], pa.binary()),
-            "train": pa.array([*raw(train, np.uint32, cut, ends), None], pa.binary()),
-            "pairs": pa.array([*raw(per_word, np.uint32, cut, ends), None], pa.binary()),
-            "docs": pa.array([*raw(doc, np.uint16, lo, hi), None], pa.binary()),
-            "counts": pa.array([*raw(count, np.uint32, lo, hi), None], pa.binary()),
-            "ids": pa.array([None] * k + [ids], pa.list_(arrow)),
-            "held": pa.array([None] * k + [held], pa.list_(pa.bool_())),
-            "tokens": pa.array([None] * k + [n_tokens], pa.list_(pa.int64())),
-            "scores": pa.array([None] * k + [scores], pa.list_(pa.float64())),
-        }
-        yield pa.RecordBatch.from_pydict(rows)
-
-    schema = f"bucket int, chunk long, kind int, words binary, train binary, pairs binary, docs binary, counts binary, ids array<{of.simpleString()}>, held array<boolean>, tokens array<long>, scores array<double>"
-    return docs.mapInArrow(run, schema)
-
-
-def _score(model: Model, texts: list[bytes], known: tuple[np.ndarray, np.ndarray]) -> list[float]:
-    """Log10 probabilities of texts; ``known`` remembers those of strings from call to call."""
-    g, n = strings(texts, model.depth)
-    keys, values = known
-    slot = ((g * _FIB) >> _U(64 - (len(keys) - 1).bit_length())).astype(np.int64)
-    out = values[slot]
-    miss = np.flatnonzero(keys[slot] != g)
-    while len(miss):
-        # each slot is claimed by one of the strings that miss it; the others go again
-        keys[slot[miss]] = g[miss]
-        ok = keys[slot[miss]] == g[miss]
-        claimed = np.unique(slot[miss[ok]])
-        values[claimed] = model.log10(keys[claimed])
-        out[miss[ok]] = values[slot[miss[ok]]]
-        miss = miss[~ok]
-        if len(miss) < 20_000:
-            k, inverse = np.unique(g[miss], return_inverse=True)
-            out[miss] = model.log10(k)[inverse]
-            break
-    return np.add.reduceat(out, np.cumsum(n) - n).tolist() if len(n) else []
-
-
-def _looked_up(chunks: DataFrame) -> DataFrame:
-    """Adds up the training counts of each bucket's words, and by chunk and document what base scores need."""
-    keep = ["chunk", "kind", "ids", "held", "tokens", "scores"]
-    of = chunks.schema["ids"].dataType.simpleString()
-    out = pa.schema(
-        [("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(to_arrow_type(chunks.schema["ids"].dataType.elementType))), ("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64())), ("docs", pa.binary()), ("sums", pa.binary()), ("known", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]
-    )
+            yield made(chunk, ids, held, texts)
+
+    def made(chunk, ids, held, texts):
+        gathered = {STRINGS: ([], []), WORDS: ([], [])}
+        at = 0
+        for part in blocks(texts):
+            train = ~np.array(held[at : at + len(part)], bool)
+            at += len(part)
+            g, n = strings(part, depth)
+            w, m = block_words(part)
+            for kind, values, each in ((STRINGS, g, n), (WORDS, w, m)):
+                learned = np.repeat(train, each)
+                for some, factor in ((values[learned], 1), (values[~learned], 0)):
+                    k, c = distinct(some)
+                    gathered[kind][0].append(k)
+                    gathered[kind][1].append(c * factor)
+            gathered[WORDS][0].append(np.array([_END_WORD]))
+            gathered[WORDS][1].append(np.array([train.sum()]))
+        rows = []
+        for kind, (keys, counts) in gathered.items():
+            k, c = merged(keys, counts)
+            if kind == STRINGS:
+                bucket = (mixed((k >> _U(8)) & _U(0xFFFF)) % _U(buckets)).astype(np.int64)
+            else:
+                bucket = buckets + (((k >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            k, c, bucket = k[order], c[order], bucket[order]
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for a, b in zip(cut, np.append(cut[1:], len(k))):
+                rows.append((int(bucket[a]), kind, int(b - a), packed(k[a:b]), packed(c[a:b])))
+        joined = b"".join(texts)
+        rows.append((None, TEXTS, len(joined), pa.compress(joined, codec="zstd", asbytes=True), None))
+        bucket, kind, n, keys, counts = zip(*rows)
+        last = [None] * (len(rows) - 1)
+        return pa.RecordBatch.from_pydict(
+            {
+                "bucket": pa.array(bucket, pa.int32()),
+                "kind": pa.array(kind, pa.int32()),
+                "chunk": pa.array([chunk] * len(rows), pa.int64()),
+                "n": pa.array(n, pa.int64()),
+                "keys": pa.array(keys, pa.binary()),
+                "counts": pa.array(counts, pa.binary()),
+                "ids": pa.array([*last, ids], pa.list_(arrow)),
+                "held": pa.array([*last, held], pa.list_(pa.bool_())),
+                "sizes": pa.array([*last, [len(t) for t in texts]], pa.list_(pa.int64())),
+            }
+        )
 
-    def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        bucket = table.column("bucket")[0].as_py()
-        metas = table.filter(pa.array(kind == 1)).select(keep)
-        k = metas.num_rows
-        nothing = [pa.nulls(k, t) for t in (pa.binary(),) * 3 + (pa.int64(),) * 2]
-        parts = [pa.Table.from_arrays([pa.array([bucket] * k, pa.int32()), *(metas.column(i).combine_chunks() for i in range(6)), *nothing], schema=out)]
-        rows = table.filter(pa.array(kind == 0)).sort_by("chunk")
-        if rows.num_rows:
-            read = lambda name, t: [np.frombuffer(x, t) for x in rows.column(name).to_pylist()]
-            words, train, pairs = read("words", np.uint64), read("train", np.uint32), read("pairs", np.uint32)
-            distinct_words, inverse = np.unique(np.concatenate(words), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate(train), len(distinct_words))
-            c = np.split(total[inverse], np.cumsum([len(w) for w in words])[:-1])
-            docs, sums, known = [], [], []
-            for cw, per, d, n in zip(c, pairs, read("docs", np.uint16), read("counts", np.uint32)):
-                cp = np.repeat(cw, per)
-                who, at = np.unique(d, return_inverse=True)
-                docs.append(who.tobytes())
-                sums.append(np.bincount(at, n * np.log10(cp + 1), len(who)).tobytes())
-                known.append(np.bincount(at, np.where(cp > 0, n, 0), len(who)).astype(np.uint32).tobytes())
-            k = len(docs)
-            empty = [pa.nulls(k, out.field(i).type) for i in range(3, 7)]
-            parts.append(pa.Table.from_arrays([pa.array([bucket] * k, pa.int32()), rows.column("chunk").combine_chunks(), pa.array([0] * k, pa.int32()), *empty, *(pa.array(x, pa.binary()) for x in (docs, sums, known)), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int64())], schema=out))
-            last = [pa.nulls(1, out.field(i).type) for i in range(3, 10)]
-            parts.append(pa.Table.from_arrays([pa.array([bucket], pa.int32()), pa.array([-1], pa.int64()), pa.array([2], pa.int32()), *last, pa.array([int(total.sum())], pa.int64()), pa.array([int((total > 0).sum())], pa.int64())], schema=out))
-        return pa.concat_tables(parts)
-
-    schema = f"bucket int, chunk long, kind int, ids {of}, held array<boolean>, tokens array<long>, scores array<double>, docs binary, sums binary, known binary, n long, v long"
-    return chunks.groupBy("bucket").applyInArrow(run, schema)
-
-
-def _by_document(parts: DataFrame) -> DataFrame:
-    of = parts.schema["ids"].dataType.elementType
+    return docs.mapInArrow(run, f"bucket int, kind int, chunk long, n long, keys binary, counts binary, ids array<{of.simpleString()}>, held array<boolean>, sizes array<long>")
+
+
+def _by_bucket(rows: DataFrame, buckets: int, *then: str) -> DataFrame:
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", *then)
+
+
+def _totals(chunks: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """Training counts of each bucket over all chunks; of its words the sums, of its trees what depth 1 needs (a row per node)."""
+
+    def run(batches):
+        at, kind, keys, counts, held = None, None, [], [], 0
+        for batch in batches:
+            for b, t, n, k, c in zip(*(col.to_pylist() for col in batch.columns)):
+                if b != at:
+                    yield from summed_up(at, kind, keys, counts)
+                    at, kind, keys, counts, held = b, t, [], [], 0
+                c = unpacked(c, n, np.int64)
+                keys.append(unpacked(k, n, np.uint64)[c > 0])
+                counts.append(c[c > 0])
+                held += len(keys[-1])
+                if held > 4_000_000 and len(keys) > 1:
+                    k, c = merged(keys, counts)
+                    # what is left is only worth merging again once as much has come
+                    keys, counts, held = [k], [c], min(len(k), 2_000_000)
+        yield from summed_up(at, kind, keys, counts)
+
+    def row(bucket, kind, n=None, keys=None, counts=None, total=None, key=(None,), zeros=(None,), ones=(None,), x=(None,)):
+        m = len(key)
+        same = lambda v, t: pa.array([v] * m, t)
+        return pa.RecordBatch.from_pydict(
+            {"bucket": same(bucket, pa.int32()), "kind": same(kind, pa.int32()), "n": same(n, pa.int64()), "keys": same(keys, pa.binary()), "counts": same(counts, pa.binary()), "total": same(total, pa.int64()), "key": pa.array(key, pa.int64()), **{name: pa.array(v, pa.float64()) for name, v in (("zeros", zeros), ("ones", ones), ("x", x))}}
+        )
+
+    def summed_up(bucket, kind, keys, counts):
+        k, c = merged(keys, counts)
+        for a in range(0, len(k), ROW):
+            part = slice(a, a + ROW)
+            yield row(bucket, kind, len(k[part]), packed(k[part]), packed(c[part]), int(c[part].sum()))
+        if kind == STRINGS and len(k):
+            *_, (key, zeros, ones, x) = climb(choices(k, c), depth, 2)
+            yield row(bucket, kind, key=key.view(np.int64), zeros=zeros, ones=ones, x=x)
+
+    asked = chunks.where(F.col("kind") != TEXTS).select("bucket", "kind", "n", "keys", "counts")
+    return _by_bucket(asked, buckets).mapInArrow(run, "bucket int, kind int, n long, keys binary, counts binary, total long, key long, zeros double, ones double, x double")
+
+
+def _upper(totals: DataFrame) -> Upper:
+    """The nodes of depths 0 and 1, of which there are at most 65,792."""
+    upper = Upper()
+    low = totals.where("key is not null").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "x"))).toPandas().sort_values("key")
+    if len(low):
+        level = (low["key"].to_numpy().view(np.uint64), *(low[c].to_numpy() for c in ("zeros", "ones", "x")))
+        for got in climb(level, 1, 0):
+            if len(got) == 5:
+                upper.set(*got)
+    return upper
+
+
+def _answers(chunks: DataFrame, totals: DataFrame, upper: Upper, buckets: int, depth: int) -> DataFrame:
+    """For each chunk and bucket the values of its keys: log probabilities of strings, training counts of words."""
+    sent = chunks.sparkSession.sparkContext.broadcast(upper)
+
+    def run(batches):
+        at, kind, keys, counts, asked, size, bucket = None, None, [], [], [], 0, None
+        for batch in batches:
+            for b, t, chunk, n, k, c in zip(*(col.to_pylist() for col in batch.columns)):
+                if b != at or size > ASKED:
+                    if asked:
+                        bucket = bucket or Bucket(kind, keys, counts)
+                        yield bucket.answer(asked)
+                        asked, size = [], 0
+                if b != at:
+                    at, kind, keys, counts, bucket = b, t, [], [], None
+                if chunk is None:
+                    keys.append(unpacked(k, n, np.uint64))
+                    counts.append(unpacked(c, n, np.int64))
+                else:
+                    asked.append((chunk, n, k))
+                    size += n
+        if asked:
+            yield (bucket or Bucket(kind, keys, counts)).answer(asked)
+
+    class Bucket:
+        def __init__(self, kind, keys, counts):
+            self.kind = kind
+            k, c = merged(keys, counts)
+            if kind == WORDS:
+                self.keys, self.values = k, c
+            else:
+                self.trees = Trees(k, c, depth, sent.value)
+                self.keys, self.values = k[:0], np.zeros(0, np.float32)
+
+        def answer(self, asked):
+            g = [unpacked(k, n, np.uint64) for _, n, k in asked]
+            one, inverse = np.unique(np.concatenate(g), return_inverse=True)
+            at = np.minimum(np.searchsorted(self.keys, one), max(0, len(self.keys) - 1))
+            known = self.keys[at] == one if len(self.keys) else np.zeros(len(one), bool)
+            got = np.zeros(len(one), self.values.dtype)
+            got[known] = self.values[at[known]]
+            if self.kind == STRINGS and not known.all():
+                new = one[~known]
+                got[~known] = self.trees.log10(new)
+                keep = len(self.keys) <= MEMO
+                k = np.concatenate([self.keys, new]) if keep else new
+                v = np.concatenate([self.values, got[~known]]) if keep else got[~known]
+                order = np.argsort(k, kind="stable")
+                self.keys, self.values = k[order], v[order]
+            parts = np.split(got[inverse], np.cumsum([len(x) for x in g])[:-1])
+            return pa.RecordBatch.from_pydict(
+                {
+                    "kind": pa.array([self.kind] * len(asked), pa.int32()),
+                    "chunk": pa.array([chunk for chunk, _, _ in asked], pa.int64()),
+                    "n": pa.array([n for _, n, _ in asked], pa.int64()),
+                    "keys": pa.array([k for _, _, k in asked], pa.binary()),
+                    "counts": pa.array([packed(x) for x in parts], pa.binary()),
+                }
+            )
+
+    columns = ["bucket", "kind", "chunk", "n", "keys", "counts"]
+    held = totals.where("keys is not null").withColumn("chunk", F.lit(None).cast("long")).select(columns)
+    questions = chunks.where(F.col("kind") != TEXTS).withColumn("counts", F.lit(None).cast("binary")).select(columns)
+    # nulls first: a bucket's counts come before what is asked of it
+    rows = _by_bucket(held.unionByName(questions), buckets, "chunk")
+    return rows.mapInArrow(run, "kind int, chunk long, n long, keys binary, counts binary")
+
+
+def _by_document(chunks: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
+    """Sums each chunk's answers over its texts."""
+    of = chunks.schema["ids"].dataType.elementType
     arrow = to_arrow_type(of)
+    columns = ["chunk", "kind", "n", "keys", "counts", "ids", "held", "sizes"]
 
-    def run(table: pa.Table) -> pa.Table:
-        meta = table.filter(pa.array(table.column("kind").to_numpy() == 1)).slice(0, 1)
-        ids, held, tokens, scores = (meta.column(n)[0].as_py() for n in ("ids", "held", "tokens", "scores"))
-        rows = table.filter(pa.array(table.column("kind").to_numpy() == 0)).sort_by("bucket")
-        sums, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-        for d, s, k in zip(*(rows.column(n).to_pylist() for n in ("docs", "sums", "known"))):
-            d = np.frombuffer(d, np.uint16)
-            sums[d] += np.frombuffer(s, np.float64)
-            known[d] += np.frombuffer(k, np.uint32)
-        return pa.table({"doc_id": pa.array(ids, arrow), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": known, "sums": sums, "score": pa.array(scores, pa.float64())})
+    def found(table, wanted, value):
+        rows = table.filter(pa.array(table.column("kind").to_numpy() == wanted))
+        keys, values = [], []
+        for n, k, v in zip(*(rows.column(c).to_pylist() for c in ("n", "keys", "counts"))):
+            keys.append(unpacked(k, n, np.uint64))
+            values.append(unpacked(v, n, value))
+        return Found(np.concatenate(keys), np.concatenate(values))
 
-    return parts.where("chunk >= 0").groupBy("chunk").applyInArrow(run, f"doc_id {of.simpleString()}, held_out boolean, n_tokens long, n_known long, sums double, score double")
+    def run(table: pa.Table) -> pa.Table:
+        meta = table.filter(pa.array(table.column("kind").to_numpy() == TEXTS))
+        ids, held, sizes, size, raw = (meta.column(c)[0].as_py() for c in ("ids", "held", "sizes", "n", "keys"))
+        joined = pa.decompress(raw, size, codec="zstd", asbytes=True)
+        ends = np.cumsum(sizes)
+        of_string, of_word = found(table, STRINGS, np.float32), found(table, WORDS, np.int64)
+        end = int(of_word[np.array([_END_WORD])][0])
+        scores, tokens, known, sums = [], [], [], []
+        for part in blocks([joined[b - s : b] for b, s in zip(ends.tolist(), sizes)]):
+            g, n = strings(part, depth)
+            scores.append(np.add.reduceat(of_string[g].astype(np.float64), np.cumsum(n) - n))
+            w, m = block_words(part)
+            c = of_word[w]
+            text = np.repeat(np.arange(len(part)), m)
+            tokens.append(m + 1)
+            known.append(np.bincount(text, c > 0, len(part)).astype(np.int64) + (end > 0))
+            sums.append(np.bincount(text, np.log10(c + 1.0), len(part)) + math.log10(end + 1))
+        tokens, known, sums, scores = (np.concatenate(x) for x in (tokens, known, sums, scores))
+        return pa.table({"doc_id": pa.array(ids, arrow), "held_out": pa.array(held, pa.bool_()), "n_tokens": tokens.astype(np.int64), "n_known": known, "sums": sums, "score": scores})
+
+    texts = chunks.where(F.col("kind") == TEXTS).select(columns)
+    rows = texts.unionByName(answers, allowMissingColumns=True).select(columns)
+    return rows.groupBy("chunk").applyInArrow(run, f"doc_id {of.simpleString()}, held_out boolean, n_tokens long, n_known long, sums double, score double")
 
 
 def score_corpus(docs: DataFrame, folds: int = 7, out_fold: int = 2, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds) == out_fold
     rows = docs.select("doc_id", "text", held.alias("held"))
-    model = learn(rows.where(~F.col("held")), depth)
-    buckets = max(16, partitions(docs.sparkSession))
-    parts = written(_looked_up(_chunks(rows, model, buckets)), "words")
-    totals = parts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    each = math.log10(totals["n"] + totals["v"] + 1)
-    return _by_document(parts).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), (F.col("sums") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score"
+    buckets = max(64, partitions(docs.sparkSession))
+    chunks = written(_chunks(rows, buckets, depth), "chunks")
+    totals = written(_totals(chunks, buckets, depth), "totals")
+    words = totals.where((F.col("kind") == WORDS) & F.col("keys").isNotNull())
+    size = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "n"))).first()
+    each = math.log10(size["total"] + size["n"] + 1)
+    answers = _answers(chunks, totals, _upper(totals), buckets, depth)
+    return _by_document(chunks, answers, depth).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(size["total"]).cast("long").alias("train_tokens"), (F.col("sums") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score"
     )

@@ -391,7 +391,7 @@ def brute_ctw(train, text, depth):
         for d in range(depth, -1, -1):
             key = c[depth - d :], node
             n = counts.get(key)
-            if n is None or d > 2 and sum(n) < 2:
+            if n is None:
                 continue
             est = (n[bit] + 0.5) / (sum(n) + 1)
             p = est if p is None else weight[key] * est + (1 - weight[key]) * p
