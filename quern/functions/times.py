@@ -11,29 +11,48 @@ NS = 1_000_000_000
 _FORM = r"^(\d{4}-\d\d-\d\d)[Tt ](\d\d):(\d\d):(\d\d)(?:\.(\d{1,9}))?(?:[Zz]|([+-])(\d\d)(?::?(\d\d))?)?\z"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is looked at."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_ns(text: Column) -> Column:
-    """RFC 3339 (no suffix: UTC; second 60 rolls over) as nanoseconds; null if it isn't one or doesn't fit."""
-    part = lambda i: F.regexp_extract(text, _FORM, i)
-    number = lambda i: part(i).try_cast("bigint")
-    day = F.unix_date(part(1).try_cast("date")).cast("bigint")
-    hour, minute, second = number(2), number(3), number(4)
-    off_h, off_m = F.coalesce(number(7), F.lit(0)), F.coalesce(number(8), F.lit(0))
-    sign = F.when(part(6) == "-", F.lit(-1)).otherwise(F.lit(1))
-    secs = day * 86400 + hour * 3600 + minute * 60 + second - sign * (off_h * 3600 + off_m * 60)
-    frac = F.coalesce(F.rpad(part(5), 9, "0").try_cast("bigint"), F.lit(0).cast("bigint"))
-    good = text.rlike(_FORM) & (hour <= 23) & (minute <= 59) & (second <= 60) & (off_h <= 23) & (off_m <= 59)
-    # a negative whole second may be just under the range that its fraction brings it back into
-    whole = F.try_multiply(secs, F.lit(NS).cast("bigint"))
-    near = F.try_add(F.try_multiply(secs + 1, F.lit(NS).cast("bigint")), frac - NS)
-    return F.when(good, F.coalesce(F.try_add(whole, frac), F.when(secs < 0, near)))
+    """RFC 3339 (no suffix: UTC; second 60 rolls over) as nanoseconds; null if it isn't one or doesn't fit.
+
+    The grammar is matched once; after that the places of all but fraction and zone are known.
+    """
+    number = lambda c: c.try_cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def fields(t: Column) -> Column:
+        day = F.unix_date(F.substring(t, 1, 10).try_cast("date")).cast("bigint")
+        clock = [number(F.substring(t, i, 2)).alias(name) for i, name in ((12, "h"), (15, "m"), (18, "s"))]
+        tail = F.substring(t, F.lit(20), F.length(t))
+        frac = F.when(tail.startswith("."), number(F.rpad(F.regexp_extract(tail, r"^\.(\d+)", 1), 9, "0"))).otherwise(zero)
+        zone = F.when(F.contains(tail, F.lit("+")) | F.contains(tail, F.lit("-")), F.regexp_extract(tail, "[+-].*", 0)).otherwise("")
+        return F.when(t.rlike(_FORM), F.struct(day.alias("day"), *clock, frac.alias("frac"), zone.alias("zone")))
+
+    def seconds(f: Column) -> Column:
+        off_h = F.when(f["zone"] == "", zero).otherwise(number(F.substring(f["zone"], 2, 2)))
+        off_m = F.when(F.length(f["zone"]) > 3, number(F.substring(f["zone"], -2, 2))).otherwise(zero)
+        sign = F.when(f["zone"].startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+        secs = f["day"] * 86400 + f["h"] * 3600 + f["m"] * 60 + f["s"] - sign * (off_h * 3600 + off_m * 60)
+        good = (f["h"] <= 23) & (f["m"] <= 59) & (f["s"] <= 60) & (off_h <= 23) & (off_m <= 59)
+        return F.struct(F.when(good, secs).alias("secs"), f["frac"].alias("frac"))
+
+    def nanoseconds(x: Column) -> Column:
+        # a negative whole second may be just under the range that its fraction brings it back into
+        whole = F.try_multiply(x["secs"], F.lit(NS).cast("bigint"))
+        near = F.try_add(F.try_multiply(x["secs"] + 1, F.lit(NS).cast("bigint")), x["frac"] - NS)
+        return F.coalesce(F.try_add(whole, x["frac"]), F.when(x["secs"] < 0, near))
+
+    return _bound(_bound(_bound(text, fields), seconds), nanoseconds)
 
 
 def time_of(pairs: Column) -> Column:
     """Time of a line: of its first ``time`` or ``ts`` pair, which alone decides."""
     raw = F.get(F.filter(pairs, lambda p: p["k"].isin("time", "ts")), F.lit(0))["v"]
-    # bound once: the grammar looks at the text many times
-    text = F.transform(F.array(raw), strip_quotes)
-    return F.transform(text, parse_ns)[0]
+    return parse_ns(_bound(raw, strip_quotes))
 
 
 def format_ns(ns: Column, zone: str = "UTC") -> Column:
