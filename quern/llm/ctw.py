@@ -38,7 +38,7 @@ from .common import SPACE, mixed, partitions, word_hashes, written
 
 DEPTH = 5
 #: Bytes of text that are turned into strings at once, and in a chunk.
-BLOCK, CHUNK = 2 << 20, 12 << 20
+BLOCK, CHUNK = 1 << 20, 12 << 20
 #: Keys in a row of totals, questions answered at once, and answers that a bucket remembers.
 ROW, ASKED, MEMO = 200_000, 300_000, 2_000_000
 _U = np.uint64
@@ -256,8 +256,9 @@ class Found:
     """Values by key, for keys of which each is known to be here: slots that one key each claims."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.rounds, factor, bits = [], _FIB, max(10, len(keys).bit_length() + 1)
+        self.rounds, factor = [], _FIB
         while len(keys) > 1000 and len(self.rounds) < 4:
+            bits = len(keys).bit_length() + 1
             slot = ((keys * factor) >> _U(64 - bits)).astype(np.int64)
             owner = np.zeros(1 << bits, np.int64)  # slots of no key have the first one and its value
             owner[slot] = np.arange(len(keys))
