@@ -153,13 +153,31 @@ def summed(k: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[first], *(np.add.reduceat(v[order], first) for v in values))
 
 
+def signed(share: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Two parts of 1 as one float32: the lesser of both, so that it keeps its own precision; negative if that is ``rest``."""
+    return np.where(share <= rest, share, -rest).astype(np.float32)
+
+
+def unsigned(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(share, rest) of what ``signed`` gave; a share or rest of 0 is told by the sign bit."""
+    least = np.abs(v).astype(np.float64)
+    rest = np.signbit(v)
+    return np.where(rest, 1 - least, least), np.where(rest, least, 1 - least)
+
+
 def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of a node's own estimate, log of its weighted probability); ``below``: its children's sum."""
+    """(``signed`` weight of a node's own estimate, log of its weighted probability); ``below``: its children's sum."""
     own = log_kt(zeros, ones)
     if below is None:
-        return np.ones(len(own)), own
+        return signed(np.ones(len(own)), np.zeros(len(own))), own
     both = np.logaddexp(own, below) - math.log(2)
-    return np.exp(own - math.log(2) - both), both
+    return signed(np.exp(own - math.log(2) - both), np.exp(below - math.log(2) - both)), both
+
+
+def estimates(zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each node the ``signed`` estimate of a one, and the weight."""
+    n = zeros + ones + 1
+    return np.stack([signed((ones + 0.5) / n, (zeros + 0.5) / n), weight], 1)
 
 
 def climb(level: tuple[np.ndarray, ...], depth: int, top: int):
@@ -178,13 +196,13 @@ def climb(level: tuple[np.ndarray, ...], depth: int, top: int):
 
 
 class Upper:
-    """Estimates and weights of the nodes of depths 0 and 1; NaN where there is none."""
+    """Signed estimates and weights of the nodes of depths 0 and 1; NaN where there is none."""
 
     def __init__(self):
         self.dense = [np.full((256 << 8 * d, 2), np.nan, np.float32) for d in (0, 1)]
 
     def set(self, depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> None:
-        self.dense[depth][key.astype(np.int64)] = np.stack([(ones + 0.5) / (zeros + ones + 1), weight], 1)
+        self.dense[depth][key.astype(np.int64)] = estimates(zeros, ones, weight)
 
     def node(self, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         v = self.dense[depth][key.astype(np.int64)]
@@ -192,7 +210,7 @@ class Upper:
 
 
 class Trees:
-    """All nodes of depth 2 and more of one bucket, above them the upper ones; estimates of a one and weights."""
+    """All nodes of depth 2 and more of one bucket, above them the upper ones; signed estimates of a one and weights."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, upper: Upper):
         self.depth, self.upper, self.levels = depth, upper, {}
@@ -200,7 +218,7 @@ class Trees:
             for level in climb(choices(keys, counts), depth, 2):
                 if len(level) == 5:
                     d, k, z, o, w = level
-                    self.levels[d] = k, np.stack([(o + 0.5) / (z + o + 1), w], 1).astype(np.float32)
+                    self.levels[d] = k, estimates(z, o, w)
 
     def node(self, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if depth < 2:
@@ -221,8 +239,10 @@ class Trees:
             p, known = np.full(len(g), 0.5), np.zeros(len(g), bool)
             for d in range(self.depth, -1, -1):
                 found, v = self.node(key & _U((1 << 8 * d + 8) - 1), d)
-                kt = np.where(bit, v[:, 0], 1 - v[:, 0]).astype(np.float64)
-                mix = np.where(known, v[:, 1] * kt + (1 - v[:, 1]) * p, kt)
+                one, zero = unsigned(v[:, 0])
+                kt = np.where(bit, one, zero)
+                own, below = unsigned(v[:, 1])
+                mix = np.where(known, own * kt + below * p, kt)
                 p = np.where(found, mix, p)
                 known |= found
             out += np.log10(p)

@@ -423,6 +423,20 @@ def test_ctw_edges(empty, nulls):
     assert len(rows) == 4 and all(r.score < 0 for r in rows)
 
 
+@pytest.mark.parametrize("zeros", [0, 1])
+def test_ctw_keeps_a_rare_bit_after_many(zeros):
+    context = int.from_bytes(b" the ", "big") << 8
+    g = np.array([context | 0x60, context | 0x61], np.uint64)  # they differ in the last bit
+    counts = np.array([zeros, 10**8])
+    n = 10**8 + zeros
+    trees = ctw.Trees(g[counts > 0], counts[counts > 0], 5, ctw.Upper())
+    # all depths have the same counts; the seven bits before are seen n times
+    before = 7 * math.log10((n + 0.5) / (n + 1))
+    want = [before + math.log10((c + 0.5) / (n + 1)) for c in (zeros, 10**8)]
+    assert np.allclose(trees.log10(g), want, rtol=1e-6, atol=1e-9)
+    assert np.allclose(ctw.unsigned(ctw.signed(np.array([1e-12, 1 - 1e-12]), np.array([1 - 1e-12, 1e-12]))), [[1e-12, 1 - 1e-12], [1 - 1e-12, 1e-12]], rtol=1e-6, atol=0)
+
+
 def test_distinct():
     g = np.random.default_rng(1).integers(0, 5000, 100_000).astype(np.uint64) * np.uint64(977)
     k, c = ctw.distinct(g)
