@@ -3,12 +3,18 @@
 An offset is the device, inode and position of the file. It never passes the last line
 end, so a line still being written waits; when a file is replaced or cut short (and
 ``reopen`` is set), what the old one still holds is read first and the new one from its start.
+For that the reader keeps the file open, and stays with it until it is read to its end and no
+line in it is unfinished. The limit: after a restart, what was not read of a file that has been
+replaced meanwhile, or is to be replayed from it, can't be found under its path; the reader
+warns and goes on without it. The same holds before the reader has opened the file first.
 """
 
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +28,12 @@ from ..sources import logs
 CHUNK = 8 << 20
 
 
-def _whole_lines(path: str, start: int, most: int = CHUNK) -> tuple[list[bytes], int]:
+def _whole_lines(f: BinaryIO, start: int, most: int = CHUNK) -> tuple[list[bytes], int]:
     """Whole lines from ``start`` on and the position behind them."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        data = f.read(most)
-        while data and b"\n" not in data and (more := f.read(most)):
-            data += more
+    f.seek(start)
+    data = f.read(most)
+    while data and b"\n" not in data and (more := f.read(most)):
+        data += more
     end = data.rfind(b"\n") + 1
     return data[:end].split(b"\n")[:-1], start + end
 
@@ -39,41 +44,93 @@ class TailReader(SimpleDataSourceStreamReader):
         self.reopen = options.get("reopen", "false").lower() == "true"
         self.start = options.get("startingoffset", options.get("startingOffset", "latest"))
 
+        self.file: BinaryIO | None = None  # the followed file, also under another name
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"file": None}
+
+    def _open(self) -> dict | None:
+        """Holds the file that the path has now; its identity, or nothing if there is none."""
+        try:
+            file = open(self.path, "rb")  # noqa: SIM115
+        except FileNotFoundError:
+            return None
+        if self.file is not None:
+            self.file.close()
+        self.file = file
+        return _identity(os.fstat(file.fileno()))
+
+    def _holds(self, offset: dict) -> bool:
+        return self.file is not None and _same(_identity(os.fstat(self.file.fileno())), offset)
+
     def initialOffset(self) -> dict:
-        s = os.stat(self.path)
+        who = self._open()
+        if who is None:
+            raise FileNotFoundError(self.path)
         if self.start == "earliest":
             at = 0
         elif self.start == "latest":
-            at = s.st_size
+            at = os.fstat(self.file.fileno()).st_size
         else:
             at = int(self.start)
-        return {"dev": s.st_dev, "ino": s.st_ino, "pos": at}
+        return who | {"pos": at}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, end = self._read(start)
         return iter(rows), end
 
     def _read(self, start: dict) -> tuple[list[tuple], dict]:
-        try:
-            s = os.stat(self.path)
-        except FileNotFoundError:
-            return [], start
-        same = (s.st_dev, s.st_ino) == (start["dev"], start["ino"]) and s.st_size >= start["pos"]
-        if not same:
-            if not self.reopen:
+        if self._holds(start):
+            size = os.fstat(self.file.fileno()).st_size
+            if size > start["pos"]:
+                # with an unfinished line alone, the position stays and the file is kept
+                return self._rows(start)
+            try:
+                s = os.stat(self.path)
+            except FileNotFoundError:  # for a moment, while it is replaced
                 return [], start
-            start = {"dev": s.st_dev, "ino": s.st_ino, "pos": 0}
-        found, pos = _whole_lines(self.path, start["pos"])
-        return [(x.decode("utf-8", "surrogateescape"),) for x in found if _valid(x)], start | {"pos": pos}
+            if not self.reopen or size == start["pos"] and _same(_identity(s), start):
+                return [], start
+            # written between the look at the size and the one at the path
+            if os.fstat(self.file.fileno()).st_size > start["pos"]:
+                return self._rows(start)
+            who = self._open()
+        else:
+            who = self._open()
+            if who is not None and _same(who, start) and os.fstat(self.file.fileno()).st_size >= start["pos"]:
+                return self._rows(start)
+            if who is not None and self.reopen and not _same(who, start):
+                warnings.warn(f"{self.path} was replaced before it could be held; what the old file had after byte {start['pos']} is not read", stacklevel=2)
+        if who is None or not self.reopen:
+            return [], start
+        return self._rows(who | {"pos": 0})
+
+    def _rows(self, start: dict) -> tuple[list[tuple], dict]:
+        found, pos = _whole_lines(self.file, start["pos"])
+        return [(x.decode(),) for x in found if _valid(x)], start | {"pos": pos}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        at = start["pos"] if (start["dev"], start["ino"]) == (end["dev"], end["ino"]) and start["pos"] <= end["pos"] else 0
-        with open(self.path, "rb") as f:
-            f.seek(at)
-            data = f.read(end["pos"] - at)
+        at = start["pos"] if _same(start, end) and start["pos"] <= end["pos"] else 0
+        if not self._holds(end) and (who := self._open()) != _identity_of(end):
+            warnings.warn(f"{self.path} is another file than that of the batch to replay, whose lines are not read ({who})", stacklevel=2)
+            return iter([])
+        self.file.seek(at)
+        data = self.file.read(end["pos"] - at)
         return iter([(x.decode(),) for x in data.split(b"\n")[:-1] if _valid(x)])
 
 
+def _identity(s: os.stat_result) -> dict:
+    return {"dev": s.st_dev, "ino": s.st_ino}
+
+
+def _identity_of(offset: dict) -> dict:
+    return {"dev": offset["dev"], "ino": offset["ino"]}
+
+
+def _same(a: dict, b: dict) -> bool:
+    return _identity_of(a) == _identity_of(b)
+
+
 def _valid(line: bytes) -> bool:
     try:
         line.decode()

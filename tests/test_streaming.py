@@ -1,8 +1,10 @@
 """Buckets that close, and files that grow, are replaced, or end within a line."""
 
 import os
+import pickle
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.plans.query import Query
@@ -70,6 +72,29 @@ def test_reader_reopens_only_if_asked(tmp_path):
     assert [x[0] for x in reopening.read(end | {"pos": 100})[0]] == ["m=1"]
 
 
+def test_reader_drains_the_old_file_before_the_new_one(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_bytes(b"a=1\n")
+    r = TailReader({"path": str(path), "reopen": "true", "startingOffset": "latest"})
+    at = r.initialOffset()
+    with path.open("ab") as f:
+        f.write(b"a=2\na=3\na=")  # after the last read, before the rename
+        f.flush()
+        os.replace(path, tmp_path / "a.log.1")
+        path.write_bytes(b"n=1\n")
+        rows, at = r.read(at)
+        assert [x[0] for x in rows] == ["a=2", "a=3"]
+        assert list(r.read(at)[0]) == []  # a line that isn't finished
+        f.write(b"4\n")
+    rows, end = r.read(at)
+    assert [x[0] for x in rows] == ["a=4"]
+    assert [x[0] for x in r.readBetweenOffsets(at, end)] == ["a=4"]
+    rows, new = r.read(end)
+    assert [x[0] for x in rows] == ["n=1"] and new["ino"] != end["ino"]
+    with pytest.warns(UserWarning):  # another reader can't find the old file
+        assert list(pickle.loads(pickle.dumps(r)).readBetweenOffsets(at, end)) == []
+
+
 def test_tail_as_a_stream(spark, tmp_path):
     path = tmp_path / "a.log"
     path.write_text("level=old\n")
