@@ -99,19 +99,24 @@ class Engine:
         zone = parse_zone(query.zone)
         if query.time_range:
             return [self._range(zone)]
-        parts = []
-        if query.raw_key is not None:
-            parts.append(self.values(query).select(F.col("value").alias("line")))
-        elif query.prints_lines or query.lines_before or query.lines_after:
-            parts.append(self._lines(query))
+        parts = self.printed(query)
         if query.list_keys:
             parts.append(self._set(agg.distinct_keys(self.matched(query)), "key", query.json))
         if query.list_values:
-            parts.append(self._values(query))
+            parts.append(self._values(query, agg.distinct_values(self.matched(query), query.list_values)))
         if query.count:
             parts.append(self._counts(query, zone))
         return parts
 
+    def printed(self, query: Query) -> list[DataFrame]:
+        """The part of ``output`` that comes before all summaries: values of a raw key, or lines."""
+        parts = []
+        if query.raw_key is not None:
+            parts.append(self.values(query).select(F.col("value").alias("line")))
+        elif query.prints_lines or query.lines_before or query.lines_after:
+            parts.append(self._lines(query))
+        return parts
+
     def _lines(self, query: Query) -> DataFrame:
         df = self.selected(query)
         if not query.prints_lines:
@@ -128,8 +133,7 @@ class Engine:
         items = F.array_sort(F.collect_set(column))
         return df.agg(F.concat(F.lit("["), F.array_join(F.transform(items, out.json_text), ","), F.lit("]")).alias("line"))
 
-    def _values(self, query: Query) -> DataFrame:
-        df = agg.distinct_values(self.matched(query), query.list_values)
+    def _values(self, query: Query, df: DataFrame) -> DataFrame:
         if query.json:
             item = out.json_text(F.col("value"))
             if len(query.list_values) > 1:
@@ -145,11 +149,13 @@ class Engine:
     def _counts(self, query: Query, zone: str) -> DataFrame:
         bucketed = query.bucket is not None or query.n_buckets is not None
         if not query.group_by and not bucketed:
-            n = self.matched(query).agg(F.count(F.lit(1)).alias("count"))
-            return n.select((F.concat(F.lit('{"count":'), out.json_count(F.col("count")), F.lit("}")) if query.json else F.col("count").cast("string")).alias("line"))
+            return self._total(query, self.matched(query).agg(F.count(F.lit(1)).alias("count")))
         text = out.json_counted if query.json else out.logfmt_count
         return self.counts(query).select(text(query.group_by, bucketed, zone).alias("line"))
 
+    def _total(self, query: Query, n: DataFrame) -> DataFrame:
+        return n.select((F.concat(F.lit('{"count":'), out.json_count(F.col("count")), F.lit("}")) if query.json else F.col("count").cast("string")).alias("line"))
+
     def _range(self, zone: str) -> DataFrame:
         try:
             low, high = cut.span(self.lines())

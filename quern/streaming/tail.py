@@ -12,14 +12,18 @@ warns and goes on without it. The same holds before the reader has opened the fi
 from __future__ import annotations
 
 import os
+import tempfile
 import warnings
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from ..operators import aggregates as agg
 from ..operators import slicing as cut
 from ..plans.query import Query
 from ..sources import logs
@@ -165,12 +169,98 @@ def parsed_stream(lines: DataFrame) -> DataFrame:
     return logs.parsed(logs.with_raw(df))
 
 
+class Totals:
+    """Count, keys and values of a query's matches over all batches, for the summaries at the end.
+
+    Distinct keys and values are tables, one for each batch, which are folded into one from
+    time to time.
+    """
+
+    FOLD = 50
+
+    def __init__(self, spark: SparkSession, query: Query):
+        self.spark, self.query, self.count = spark, query, 0
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        self.path = f"{shared}/totals-{id(self)}" if shared else "file://" + tempfile.mkdtemp(prefix="quern-totals-")
+        self.tables: dict[str, list[DataFrame]] = {}
+        self.written = 0
+
+    @staticmethod
+    def of(spark: SparkSession, query: Query) -> Totals | None:
+        """Nothing if the query has no such summary; counts by bucket are told as the buckets close."""
+        return Totals(spark, query) if query.list_keys or query.list_values or query.count and query.bucket is None else None
+
+    def add(self, matched: DataFrame) -> None:
+        if self.query.count and self.query.bucket is None:
+            self.count += matched.count()
+        if self.query.list_keys:
+            self._keep("keys", agg.distinct_keys(matched))
+        if self.query.list_values:
+            self._keep("values", agg.distinct_values(matched, self.query.list_values))
+
+    def _keep(self, name: str, rows: DataFrame) -> None:
+        tables = self.tables.setdefault(name, [])
+        tables.append(self._written(rows))
+        if len(tables) >= self.FOLD:
+            tables[:] = [self._written(self._all(name))]
+
+    def _written(self, rows: DataFrame) -> DataFrame:
+        self.written += 1
+        path = f"{self.path}/{self.written}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _all(self, name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.tables[name]).distinct()
+
+    def finish(self) -> Iterator[str]:
+        """The summaries, in the order in which ``Engine.output`` has them."""
+        from ..plans.planner import Engine
+
+        q, engine, parts = self.query, Engine(self.spark, []), []
+        if q.list_keys:
+            keys = self._all("keys") if "keys" in self.tables else self.spark.createDataFrame([], "key string")
+            parts.append(engine._set(keys.orderBy("key"), "key", q.json))
+        if q.list_values:
+            values = self._all("values") if "values" in self.tables else self.spark.createDataFrame([], "i int, key string, value string")
+            parts.append(engine._values(q, values.orderBy("i", "value")))
+        if q.count and q.bucket is None:
+            parts.append(engine._total(q, self.spark.createDataFrame([(self.count,)], "count long")))
+        for part in parts:
+            for row in part.toLocalIterator():
+                yield row["line"]
+
+
+class Context:
+    """Picks matches and the lines around them, over all batches; each line once."""
+
+    def __init__(self, before: int, after: int):
+        self.waiting: deque[str] = deque(maxlen=before)  # what a later match may still ask for
+        self.after, self.due = after, 0
+
+    def add(self, lines) -> list[tuple[str, bool]]:
+        """From (line, whether it matches) the same of those to print."""
+        found = []
+        for line, matched in lines:
+            if matched:
+                found += [*((x, False) for x in self.waiting), (line, True)]
+                self.waiting.clear()
+                self.due = self.after
+            elif self.due:
+                found.append((line, False))
+                self.due -= 1
+            else:
+                self.waiting.append(line)
+        return found
+
+
 def follow(spark: SparkSession, files: list[str], query: Query, emit, until=None, poll: str = "200 milliseconds", apply_bounds: bool = True) -> None:
     """Answers a query over the files as they are, then over what comes into the last one.
 
     A single file starts at its end unless there is a lower bound; with several, the last
     is read in full first. ``emit`` gets each line of output. ``until()`` ends it, as an
-    interrupt does; open buckets are then emitted too. Bounds also hold for what comes
+    interrupt does; open buckets are then emitted too, and counts without buckets, keys and
+    values, each over all that was read. Context goes on from batch to batch. Bounds also hold for what comes
     later; with ``apply_bounds=False`` they hold for the first reading only.
     """
     from ..plans.planner import Engine
@@ -180,33 +270,56 @@ def follow(spark: SparkSession, files: list[str], query: Query, emit, until=None
     from_start = len(files) > 1 or query.time_from is not None
     bounds = engine.window(query)
     buckets = BucketStream(spark, query) if query.bucket is not None else None
+    totals = Totals.of(spark, query)
+    around = query.lines_before + query.lines_after if query.raw_key is None else 0
+    context = Context(query.lines_before, query.lines_after)
     position = len(_whole(last))
+
+    def tested(*window: int | None):
+        hit = F.coalesce(cut.matched(query, window), F.lit(False))
+        return hit if (sample := cut.sampled(query)) is None else hit & sample
+
     if from_start:
         if buckets:
             buckets.add(engine.matched(query, bounds), None)
             for row in buckets.closed():
                 emit(row)
-        else:
-            for part in engine.output(query):
-                for row in part.toLocalIterator():
-                    emit(row["line"])
-    hit = cut.matched(query, bounds if apply_bounds else (None, None))
+        if totals:
+            totals.add(engine.matched(query, bounds))
+        for part in engine.printed(query):
+            for row in part.toLocalIterator():
+                emit(row["line"])
+        if around:  # the first batch goes on behind the last lines of the first reading
+            ends = engine.lines().where(F.col("file_idx") == len(files) - 1).withColumn("matched", tested(*bounds))
+            ends = ends.orderBy(*(F.desc(c) for c in logs.ORDER)).limit(around).select("raw", "matched").collect()
+            context.add(reversed(ends))
+    hit = tested(*(bounds if apply_bounds else (None, None)))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rows = df.where(hit)
-        if (sample := cut.sampled(query)) is not None:
-            rows = rows.where(sample)
+        df = df.withColumn("matched", hit).persist()
+        try:
+            add(df, df.where("matched"), batch_id)
+        finally:
+            df.unpersist()
+
+    def add(df: DataFrame, rows: DataFrame, batch_id: int) -> None:
         if buckets:
             buckets.add(rows, batch_id)
             for line in buckets.closed():
                 emit(line)
-        elif query.prints_lines or query.raw_key is not None:
-            rows = rows.withColumn("matched", F.lit(True))
-            one = Engine(spark, relation=df.select(F.lit("").alias("value")).limit(0))
-            one.selected, one.matched = (lambda q, r=rows: r), (lambda q, b=None, r=rows: r)  # type: ignore[method-assign]
-            for part in one.output(query):
-                for row in part.toLocalIterator():
-                    emit(row["line"])
+        if totals:
+            totals.add(rows)
+        shown = rows
+        if around:
+            found = context.add(df.select("raw", "matched").toLocalIterator())
+            if not found:
+                return
+            shown = logs.parsed(spark.createDataFrame(found, "raw string, matched boolean"))
+        one = Engine(spark, [])
+        one.selected, one.matched = (lambda q: shown), (lambda q, b=None: rows)  # type: ignore[method-assign]
+        for part in one.printed(query):
+            for row in part.toLocalIterator():
+                emit(row["line"])
 
     stream = parsed_stream(tail(spark, last, query.reopen, str(position)))
     running = stream.writeStream.foreachBatch(batch).trigger(processingTime=poll).start()
@@ -219,6 +332,8 @@ def follow(spark: SparkSession, files: list[str], query: Query, emit, until=None
         running.stop()
         for line in buckets.finish() if buckets else []:
             emit(line)
+        for line in totals.finish() if totals else []:
+            emit(line)
 
 
 def _whole(path: str) -> range:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.plans.query import Query
 from quern.sources import logs
 from quern.streaming.buckets import BucketStream, watermarked
-from quern.streaming.tail import TailReader, _whole, parsed_stream, tail
+from quern.streaming.tail import TailReader, _whole, follow, parsed_stream, tail
 
 
 def frame(spark, texts):
@@ -113,6 +113,49 @@ def test_tail_as_a_stream(spark, tmp_path):
     assert seen == ["level=new n=1", "level=new n=2"]
 
 
+@pytest.mark.parametrize("start", [None, "1970-01-01"])
+@pytest.mark.parametrize(
+    "options, want",
+    [
+        ({"count": True}, {None: ["2"], "1970-01-01": ["3"]}),
+        ({"list_keys": True}, {None: ["level", "n", "p", "time"], "1970-01-01": ["level", "n", "o", "time", "p"]}),
+        ({"list_values": ("n",)}, {None: ["4", "7"], "1970-01-01": ["1", "4", "7"]}),
+        ({"after": 2}, {None: "4 5 6 7 8", "1970-01-01": "1 2 3 4 5 6 7 8"}),
+        ({"before": 2}, {None: "3 4 5 6 7", "1970-01-01": "1 2 3 4 5 6 7"}),
+        ({"context": 1}, {None: "3 4 5 6 7 8", "1970-01-01": "1 2 3 4 5 6 7 8"}),
+    ],
+    ids=["count", "list-keys", "list-values-for", "A", "B", "C"],
+)
+def test_follow_goes_on_with_summaries_and_context(spark, tmp_path, options, want, start):
+    def text(n):
+        return f"time=1970-01-01T00:00:{n:02d}Z level={'error' if n in (1, 4, 7) else 'info'} n={n} {'o=1' if n < 3 else 'p=1'}\n"
+
+    path = tmp_path / "a.log"
+    path.write_text(text(1) + text(2))
+    out, batches = [], [[3, 4], [5], [6, 7, 8]]
+
+    def until():
+        q = spark.streams.active[0]
+        seen = sum(p.numInputRows > 0 for p in q.recentProgress)
+        if seen < until.sent:
+            return time.time() > until.deadline
+        if until.sent == len(batches):
+            return True
+        with path.open("a") as f:
+            f.write("".join(map(text, batches[until.sent])))
+        until.sent += 1
+        return False
+
+    until.sent, until.deadline = 0, time.time() + 60
+    follow(spark, [str(path)], Query(where=("level=error",), follow=True, time_from=start, **options), out.append, until)
+    got, expected = out, want[start]
+    if isinstance(expected, str):
+        got, expected = [x.split(" n=")[1].split()[0] for x in out], expected.split()
+    elif "list_keys" in options:
+        expected = sorted(expected)
+    assert got == expected
+
+
 def test_watermarked_counts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("\n".join([line(1), line(2), line(12), line(40)]) + "\n")
