@@ -54,5 +54,14 @@ def test_stages_keep_what_they_should(spark, small, tmp_path):
     assert docs.count() == pieces.count()
 
 
+def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
+    one, two = (" ".join(f"{w}{n}" for n in range(40)) for w in ("a", "b"))
+    rows = [(1, one, "y"), (1, one, "x"), (2, one, "x"), (3, two, "x"), (None, one, "x"), (None, one, "x"), (None, two, "x"), (None, None, "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    want = [(1, one, "x"), (3, two, "x"), (None, one, "x"), (None, two, "x"), (None, None, "x")]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
