@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words, as all contracts here define them: runs without space, tab, LF, VT, FF, CR.
@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named, as in tests, one of our own."""
+    """The cluster's shared folder; only where none is named and all runs on this machine, as in tests, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -65,6 +67,38 @@ def text_of(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column], F.lit(""))
 
 
+def named(column: str) -> Column:
+    """The column of this very name, dots and backticks in it included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns called like ``names`` (case apart) under other names, and all its columns under their own again."""
+    taken = {*map(str.lower, df.columns), *map(str.lower, names)}
+    new = []
+    for c in df.columns:
+        other = c
+        if c.lower() in map(str.lower, names):
+            while other.lower() in taken:
+                other += "_"
+            taken.add(other.lower())
+        new.append(other)
+    return df.toDF(*new), [named(n).alias(c) for n, c in zip(new, df.columns)]
+
+
+def before(parts: DataFrame, key: list[str], at: str, value: str, fan: int = 1024) -> DataFrame:
+    """key, ``at`` and ``before``: the sum of ``value`` over the rows of the key whose number ``at`` is less. By two levels, so
+    that no task sees more than the square root of all numbers, about."""
+    block = F.floor(F.col(at) / fan).alias("_block")
+    rows = parts.select(*key, at, F.col(value).alias("_value"), block)
+    up_to = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*key, "_block").agg(F.sum("_value").alias("_value"))
+    blocks = blocks.select(*key, "_block", F.coalesce(F.sum("_value").over(up_to("_block", *key)), F.lit(0)).alias("_base"))
+    inner = F.coalesce(F.sum("_value").over(up_to(at, *key, "_block")), F.lit(0))
+    rows = rows.select(*key, "_block", at, inner.alias("_inner")).join(blocks, [*key, "_block"])
+    return rows.select(*key, at, (F.col("_base") + F.col("_inner")).alias("before"))
+
+
 # ---------------------------------------------------------------- words in numpy
 
 _U = np.uint64
