@@ -4,29 +4,35 @@ A text (A-Z lower-cased) is its bytes and an end mark; a byte is eight binary ch
 each with its own tree of the preceding ``DEPTH`` bytes. A node's Krichevsky-Trofimov
 estimate, from counts over all training texts, is weighed against the product of its
 children's weighted estimates, so every prediction mixes all depths. The code length per
-byte is ``-score * log2(10) / (n_bytes + 1)``.
-
-Texts are cut into chunks of ``CHUNK`` bytes. A chunk sends its distinct byte strings of
-``DEPTH + 1``, with their counts in its training texts, to the buckets of the two bytes
-before the last, and its distinct words to the buckets of their hashes. A bucket adds up the
-counts over all chunks and builds every tree below depth 2 whole; the upper two levels are
-at most 65,792 nodes, gathered and broadcast. Then the chunks ask: a bucket answers each
-with the log probabilities of its strings, or the counts of its words, and the chunk sums
-the answers over its texts. No node and no word is left out at any size. A bucket reads the
-questions as a stream, so its memory is its own distinct strings; a chunk asks for a string
-or word once, however frequent, so none of them makes a bucket hot.
+byte, ``bits_per_byte``, is ``-score * log2(10) / (n_bytes + 1)``.
+
+Texts are gathered into chunks of ``CHUNK`` bytes. A chunk sends its distinct byte strings
+of ``DEPTH + 1``, with their counts in its training texts, to the buckets of the ``TOP``
+bytes before the last, and its distinct words to the buckets of their hashes. A bucket adds
+up the counts over all chunks and builds every tree from depth ``TOP`` on whole; the nodes
+above, of which there are at most 256**TOP + 256**2 + 256 of each of 255 choices (in text a few
+hundred thousand), are summed on the executors, packed into arrays and broadcast. Then the
+chunks ask: a bucket answers each with the log probabilities of its strings, or the counts of
+its words, and the chunk sums the answers over its texts. No node and no word is left out at
+any size. A bucket reads the questions as a stream, and a chunk its answers, so a bucket holds
+its own distinct strings and a chunk those of its texts. All strings behind three given bytes
+are one bucket at most: 256**3 of them at depth 5, whatever the corpus. A chunk asks for a
+string or word once, however frequent, so none of them makes a bucket hot. A text longer than
+a block is read in pieces, cut behind white space, each with the bytes before it.
 
 A context that the training texts don't have predicts as the next shorter one does.
 
 Edge cases: a null text is empty and has the end alone; without training texts all bits
 have probability 1/2; repeated rows are scored and learned from as often as they come; a
-null id counts as the empty id; an empty table gives an empty result; other columns are
-ignored; words are told apart by 64 bits of hash.
+null id counts as the empty id; ties don't arise, as nothing is ordered; an empty table gives
+an empty result; other columns, whatever their names, are ignored; a text of any length is a
+chunk of its own if need be; words are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,38 +42,57 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SPACE, mixed, partitions, word_hashes, written
 
-DEPTH = 5
+#: Bytes of context, and of those how many deal strings to buckets.
+DEPTH, TOP = 5, 3
 #: Bytes of text that are turned into strings at once, and in a chunk.
-BLOCK, CHUNK = 1 << 20, 12 << 20
-#: Keys in a row of totals, questions answered at once, and answers that a bucket remembers.
-ROW, ASKED, MEMO = 200_000, 300_000, 2_000_000
+BLOCK, CHUNK = 1 << 19, 8 << 20
+#: Keys in a row of totals, questions answered at once, answers that a bucket remembers, and keys merged at once.
+ROW, ASKED, MEMO, MERGE = 100_000, 150_000, 1_000_000, 1_000_000
 _U = np.uint64
 _END = 0xFF  # in no UTF-8 text
 _END_WORD = _U(0x5851F42D4C957F2D)
 _FIB = _U(0x9E3779B97F4A7C15)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # ---------------------------------------------------------------- strings of bytes
 
 
-def strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte and end mark its context and itself as one number, and the number of each text."""
-    pad, end = bytes([_END]) * depth, bytes([_END])
-    a = np.frombuffer(b"".join(part for t in texts for part in (pad, t, end)), np.uint8)
-    n = np.array([len(t) + 1 for t in texts], np.int64)
-    if not len(texts):
+Piece = tuple[int, bytes, bytes, bool]  # number of its text, the bytes before it, its own, whether it ends the text
+
+
+def strings(pieces: list[Piece], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte and end mark its context and itself as one number, and the number of each piece."""
+    end = bytes([_END])
+    a = np.frombuffer(b"".join(part for _, before, own, last in pieces for part in (before, own, end if last else b"")), np.uint8)
+    n = np.array([len(own) + last for _, _, own, last in pieces], np.int64)
+    if not len(pieces):
         return np.zeros(0, np.uint64), n
     g = np.zeros(len(a) - depth, np.uint64)
     for j in range(depth + 1):
         g <<= _U(8)
         g |= a[j : len(a) - depth + j]
     keep = np.ones(len(g), bool)
-    start = np.cumsum(n + depth)[:-1] - depth  # strings that end in the next text's padding
+    start = np.cumsum(n + depth)[:-1] - depth  # strings that end in the bytes before the next piece
     for j in range(depth):
         keep[start + j] = False
     return g[keep], n
 
 
+def pieces(texts: list[bytes], depth: int = DEPTH, size: int = BLOCK):
+    """The texts in order, those over ``size`` cut behind white space, so that words stay whole."""
+    pad = bytes([_END]) * depth
+    for k, text in enumerate(texts):
+        at = 0
+        while len(text) - at > size:
+            cut = next((m.end() for m in _GAP.finditer(text, at + size)), len(text))
+            if cut == len(text):
+                break
+            yield k, (pad + text[max(0, at - depth) : at])[-depth:], text[at:cut], False
+            at = cut
+        yield k, (pad + text[max(0, at - depth) : at])[-depth:], text[at:] if at else text, True
+
+
 def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values and their counts, mostly without sorting: slots that one value each claims."""
     keys, counts = [], []
@@ -99,19 +124,39 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def blocks(texts: list[bytes], size: int = BLOCK):
-    """Lists of texts of about ``size`` bytes; a longer text is alone."""
+def blocks(texts: list[bytes], depth: int = DEPTH, size: int = BLOCK):
+    """Lists of pieces of about ``size`` bytes."""
     part, held = [], 0
-    for b in texts:
-        if part and held + len(b) > size:
+    for piece in pieces(texts, depth, size):
+        if part and held + len(piece[2]) > size:
             yield part
             part, held = [], 0
-        part.append(b)
-        held += len(b)
+        part.append(piece)
+        held += len(piece[2])
     if part:
         yield part
 
 
+class Counts:
+    """Counts by key, merged now and then, so that memory follows the distinct keys."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.waiting, self.limit = [], [], 0, MERGE
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > self.limit:
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) != 1 or self.waiting:
+            k, c = merged(self.keys, self.counts)
+            self.keys, self.counts, self.waiting, self.limit = [k], [c], 0, max(MERGE, len(k))
+        return self.keys[0], self.counts[0]
+
+
 # ---------------------------------------------------------------- trees
 
 
@@ -131,17 +176,13 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros, 0.5) + _lgamma(ones, 0.5) - _lgamma(zeros + ones, 1.0) - math.log(math.pi)
 
 
-def choices(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Binary choices of the counted strings: (context and prefix of the byte) with zeros and ones."""
-    context, byte = keys >> _U(8) << _U(8), keys & _U(255)
-    k, z, o = [], [], []
-    for j in range(8):
-        k.append(context | (_U(1 << j) | (byte >> _U(8 - j))))
-        bit = (byte >> _U(7 - j)) & _U(1)
-        z.append(np.where(bit == 0, counts, 0))
-        o.append(np.where(bit == 1, counts, 0))
-    k, z, o = np.concatenate(k), np.concatenate(z).astype(np.float64), np.concatenate(o).astype(np.float64)
-    return summed(k, z, o)
+def choices(keys: np.ndarray, counts: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``j``-th binary choice of the counted, sorted strings: nodes (context and prefix of the byte), sorted, with zeros and ones."""
+    byte = keys & _U(255)
+    k = keys >> _U(8) << _U(8) | (_U(1 << j) | (byte >> _U(8 - j)))
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    ones = np.add.reduceat(np.where((byte >> _U(7 - j)) & _U(1), counts, 0), first).astype(np.float64)
+    return k[first], np.add.reduceat(counts, first) - ones, ones
 
 
 def summed(k: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -195,40 +236,36 @@ def climb(level: tuple[np.ndarray, ...], depth: int, top: int):
         depth -= 1
 
 
-class Upper:
-    """Signed estimates and weights of the nodes of depths 0 and 1; NaN where there is none."""
-
-    def __init__(self):
-        self.dense = [np.full((256 << 8 * d, 2), np.nan, np.float32) for d in (0, 1)]
-
-    def set(self, depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray) -> None:
-        self.dense[depth][key.astype(np.int64)] = estimates(zeros, ones, weight)
+class Nodes:
+    """Nodes by depth and choice: sorted keys, and of each the ``signed`` estimate of a one and the weight."""
 
-    def node(self, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        v = self.dense[depth][key.astype(np.int64)]
-        return ~np.isnan(v[:, 0]), v
+    def __init__(self) -> None:
+        self.levels: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
+    def grow(self, level: tuple[np.ndarray, ...], j: int, depth: int, top: int) -> tuple[np.ndarray, ...]:
+        """Takes in the nodes of choice ``j`` from ``depth`` up to ``top``; returns the sums for the level above."""
+        for got in climb(level, depth, top):
+            if len(got) == 5:
+                d, k, z, o, w = got
+                self.levels[d, j] = k, estimates(z, o, w)
+        return got
 
-class Trees:
-    """All nodes of depth 2 and more of one bucket, above them the upper ones; signed estimates of a one and weights."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, upper: Upper):
-        self.depth, self.upper, self.levels = depth, upper, {}
-        if len(keys):
-            for level in climb(choices(keys, counts), depth, 2):
-                if len(level) == 5:
-                    d, k, z, o, w = level
-                    self.levels[d] = k, estimates(z, o, w)
-
-    def node(self, key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        if depth < 2:
-            return self.upper.node(key, depth)
-        if depth not in self.levels:
+    def node(self, key: np.ndarray, depth: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        if (depth, j) not in self.levels:
             return np.zeros(len(key), bool), np.zeros((len(key), 2), np.float32)
-        keys, values = self.levels[depth]
+        keys, values = self.levels[depth, j]
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return keys[at] == key, values[at]
 
+
+class Trees:
+    """All nodes of depth ``TOP`` and more of one bucket, above them the upper ones."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, upper: Nodes):
+        self.depth, self.upper, self.own = depth, upper, Nodes()
+        for j in range(8) if len(keys) else ():
+            self.own.grow(choices(keys, counts, j), j, depth, min(TOP, depth))
+
     def log10(self, g: np.ndarray) -> np.ndarray:
         """Log10 of the probability of the last byte of each string after the others."""
         out = np.zeros(len(g))
@@ -238,7 +275,8 @@ class Trees:
             bit = ((byte >> _U(7 - j)) & _U(1)).astype(bool)
             p, known = np.full(len(g), 0.5), np.zeros(len(g), bool)
             for d in range(self.depth, -1, -1):
-                found, v = self.node(key & _U((1 << 8 * d + 8) - 1), d)
+                nodes = self.own if d >= min(TOP, self.depth) else self.upper
+                found, v = nodes.node(key & _U((1 << 8 * d + 8) - 1), d, j)
                 one, zero = unsigned(v[:, 0])
                 kt = np.where(bit, one, zero)
                 own, below = unsigned(v[:, 1])
@@ -263,42 +301,33 @@ def unpacked(b: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts, one after the other, and the number of words of each."""
-    joined = b" ".join([*texts, b""])
+def block_words(part: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of pieces, one after the other, and the number of words of each."""
+    joined = b" ".join([*(own for _, _, own, _ in part), b""])
     gap = np.concatenate(([True], SPACE[np.frombuffer(joined, np.uint8)]))
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
-    ends = np.cumsum([len(t) + 1 for t in texts])
+    ends = np.cumsum([len(own) + 1 for _, _, own, _ in part])
     return word_hashes(joined), np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 class Found:
-    """Values by key, for keys of which each is known to be here: slots that one key each claims."""
+    """Values by key, for keys of which each is known to be here: one small table of slots, and a search for keys whose slot is another's."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.rounds, factor = [], _FIB
-        while len(keys) > 1000 and len(self.rounds) < 4:
-            bits = len(keys).bit_length() + 1
-            slot = ((keys * factor) >> _U(64 - bits)).astype(np.int64)
-            owner = np.zeros(1 << bits, np.int64)  # slots of no key have the first one and its value
-            owner[slot] = np.arange(len(keys))
-            self.rounds.append((factor, bits, keys[owner], values[owner]))
-            left = owner[slot] != np.arange(len(keys))
-            keys, values = keys[left], values[left]
-            factor = _U(int(factor) * int(_FIB) % 2**64 | 1)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
+        self.bits = max(1, len(keys)).bit_length() + 1
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self.slots[self._slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, g: np.ndarray) -> np.ndarray:
+        return ((g * _FIB) >> _U(64 - self.bits)).astype(np.int64)
 
     def __getitem__(self, g: np.ndarray) -> np.ndarray:
-        out, left = np.zeros(len(g), self.values.dtype), np.arange(len(g))
-        for factor, bits, keys, values in self.rounds:
-            slot = ((g[left] * factor) >> _U(64 - bits)).astype(np.int64)
-            hit = keys[slot] == g[left]
-            out[left[hit]] = values[slot[hit]]
-            left = left[~hit]
-        if len(left):
-            out[left] = self.values[np.searchsorted(self.keys, g[left])]
-        return out
+        at = self.slots[self._slot(g)]
+        miss = np.flatnonzero(self.keys[at] != g)
+        at[miss] = np.searchsorted(self.keys, g[miss])
+        return self.values[at]
 
 
 STRINGS, WORDS, TEXTS = 0, 1, 2
@@ -327,26 +356,23 @@ def _chunks(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
             yield made(chunk, ids, held, texts)
 
     def made(chunk, ids, held, texts):
-        gathered = {STRINGS: ([], []), WORDS: ([], [])}
-        at = 0
-        for part in blocks(texts):
-            train = ~np.array(held[at : at + len(part)], bool)
-            at += len(part)
+        gathered = {STRINGS: Counts(), WORDS: Counts()}
+        for part in blocks(texts, depth, BLOCK):
+            train = ~np.array([held[k] for k, *_ in part], bool)
             g, n = strings(part, depth)
             w, m = block_words(part)
             for kind, values, each in ((STRINGS, g, n), (WORDS, w, m)):
                 learned = np.repeat(train, each)
                 for some, factor in ((values[learned], 1), (values[~learned], 0)):
                     k, c = distinct(some)
-                    gathered[kind][0].append(k)
-                    gathered[kind][1].append(c * factor)
-            gathered[WORDS][0].append(np.array([_END_WORD]))
-            gathered[WORDS][1].append(np.array([train.sum()]))
+                    gathered[kind].add(k, c * factor)
+            ends = sum(bool(t) for t, (*_, last) in zip(train, part) if last)
+            gathered[WORDS].add(np.array([_END_WORD]), np.array([ends]))
         rows = []
-        for kind, (keys, counts) in gathered.items():
-            k, c = merged(keys, counts)
+        for kind, counts in gathered.items():
+            k, c = counts.done()
             if kind == STRINGS:
-                bucket = (mixed((k >> _U(8)) & _U(0xFFFF)) % _U(buckets)).astype(np.int64)
+                bucket = (mixed((k >> _U(8)) & _U(256**TOP - 1)) % _U(buckets)).astype(np.int64)
             else:
                 bucket = buckets + (((k >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -383,55 +409,60 @@ def _totals(chunks: DataFrame, buckets: int, depth: int) -> DataFrame:
     """Training counts of each bucket over all chunks; of its words the sums, of its trees what depth 1 needs (a row per node)."""
 
     def run(batches):
-        at, kind, keys, counts, held = None, None, [], [], 0
+        at, kind, held = None, None, Counts()
         for batch in batches:
             for b, t, n, k, c in zip(*(col.to_pylist() for col in batch.columns)):
                 if b != at:
-                    yield from summed_up(at, kind, keys, counts)
-                    at, kind, keys, counts, held = b, t, [], [], 0
+                    yield from summed_up(at, kind, held)
+                    at, kind, held = b, t, Counts()
                 c = unpacked(c, n, np.int64)
-                keys.append(unpacked(k, n, np.uint64)[c > 0])
-                counts.append(c[c > 0])
-                held += len(keys[-1])
-                if held > 4_000_000 and len(keys) > 1:
-                    k, c = merged(keys, counts)
-                    # what is left is only worth merging again once as much has come
-                    keys, counts, held = [k], [c], min(len(k), 2_000_000)
-        yield from summed_up(at, kind, keys, counts)
-
-    def row(bucket, kind, n=None, keys=None, counts=None, total=None, key=(None,), zeros=(None,), ones=(None,), x=(None,)):
-        m = len(key)
-        same = lambda v, t: pa.array([v] * m, t)
-        return pa.RecordBatch.from_pydict(
-            {"bucket": same(bucket, pa.int32()), "kind": same(kind, pa.int32()), "n": same(n, pa.int64()), "keys": same(keys, pa.binary()), "counts": same(counts, pa.binary()), "total": same(total, pa.int64()), "key": pa.array(key, pa.int64()), **{name: pa.array(v, pa.float64()) for name, v in (("zeros", zeros), ("ones", ones), ("x", x))}}
-        )
+                held.add(unpacked(k, n, np.uint64)[c > 0], c[c > 0])
+        yield from summed_up(at, kind, held)
+
+    names = ("bucket", "kind", "choice", "n", "keys", "counts", "ones", "below", "total")
+    kinds = dict(zip(names, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())))
+
+    def row(**values):
+        return pa.RecordBatch.from_pydict({name: pa.array([values.get(name)], kind) for name, kind in kinds.items()})
 
-    def summed_up(bucket, kind, keys, counts):
-        k, c = merged(keys, counts)
+    def summed_up(bucket, kind, held):
+        k, c = held.done()
         for a in range(0, len(k), ROW):
             part = slice(a, a + ROW)
-            yield row(bucket, kind, len(k[part]), packed(k[part]), packed(c[part]), int(c[part].sum()))
+            yield row(bucket=bucket, kind=kind, n=len(k[part]), keys=packed(k[part]), counts=packed(c[part]), total=int(c[part].sum()))
         if kind == STRINGS and len(k):
-            *_, (key, zeros, ones, x) = climb(choices(k, c), depth, 2)
-            yield row(bucket, kind, key=key.view(np.int64), zeros=zeros, ones=ones, x=x)
+            for j in range(8):
+                key, zeros, ones, below = Nodes().grow(choices(k, c, j), j, depth, min(TOP, depth))
+                yield row(choice=j, n=len(key), keys=packed(key), counts=packed(zeros), ones=packed(ones), below=packed(below))
 
     asked = chunks.where(F.col("kind") != TEXTS).select("bucket", "kind", "n", "keys", "counts")
-    return _by_bucket(asked, buckets).mapInArrow(run, "bucket int, kind int, n long, keys binary, counts binary, total long, key long, zeros double, ones double, x double")
+    return _by_bucket(asked, buckets).mapInArrow(run, "bucket int, kind int, choice int, n long, keys binary, counts binary, ones binary, below binary, total long")
 
 
-def _upper(totals: DataFrame) -> Upper:
-    """The nodes of depths 0 and 1, of which there are at most 65,792."""
-    upper = Upper()
-    low = totals.where("key is not null").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "x"))).toPandas().sort_values("key")
-    if len(low):
-        level = (low["key"].to_numpy().view(np.uint64), *(low[c].to_numpy() for c in ("zeros", "ones", "x")))
-        for got in climb(level, 1, 0):
-            if len(got) == 5:
-                upper.set(*got)
+def _upper(totals: DataFrame, depth: int) -> Nodes:
+    """The nodes above depth ``TOP``. Each choice is summed by a task of its own and comes to the driver as arrays:
+    at most 32 bytes for each context of ``TOP - 1`` bytes and prefix, whatever the corpus."""
+    top = min(TOP, depth)
+
+    def run(batches):
+        sums: dict[int, tuple] = {}
+        for batch in batches:
+            for j, n, *raw in zip(*(col.to_pylist() for col in batch.columns)):
+                level = (unpacked(raw[0], n, np.uint64), *(unpacked(x, n, np.float64) for x in raw[1:]))
+                sums[j] = summed(*(np.concatenate(x) for x in zip(sums[j], level))) if j in sums else level
+        for j, level in sums.items():
+            yield pa.RecordBatch.from_pydict({"choice": pa.array([j], pa.int32()), "n": pa.array([len(level[0])], pa.int64()), **{f"x{i}": pa.array([packed(x)], pa.binary()) for i, x in enumerate(level)}})
+
+    upper = Nodes()
+    rows = totals.where("choice is not null").select("choice", "n", "keys", "counts", "ones", "below").repartition(8, "choice")
+    for j, n, *raw in rows.mapInArrow(run, "choice int, n long, x0 binary, x1 binary, x2 binary, x3 binary").collect():
+        if top:
+            level = (unpacked(bytes(raw[0]), n, np.uint64), *(unpacked(bytes(x), n, np.float64) for x in raw[1:]))
+            upper.grow(level, j, top - 1, 0)
     return upper
 
 
-def _answers(chunks: DataFrame, totals: DataFrame, upper: Upper, buckets: int, depth: int) -> DataFrame:
+def _answers(chunks: DataFrame, totals: DataFrame, upper: Nodes, buckets: int, depth: int) -> DataFrame:
     """For each chunk and bucket the values of its keys: log probabilities of strings, training counts of words."""
     sent = chunks.sparkSession.sparkContext.broadcast(upper)
 
@@ -492,7 +523,7 @@ def _answers(chunks: DataFrame, totals: DataFrame, upper: Upper, buckets: int, d
             )
 
     columns = ["bucket", "kind", "chunk", "n", "keys", "counts"]
-    held = totals.where("keys is not null").withColumn("chunk", F.lit(None).cast("long")).select(columns)
+    held = totals.where("kind is not null").withColumn("chunk", F.lit(None).cast("long")).select(columns)
     questions = chunks.where(F.col("kind") != TEXTS).withColumn("counts", F.lit(None).cast("binary")).select(columns)
     # nulls first: a bucket's counts come before what is asked of it
     rows = _by_bucket(held.unionByName(questions), buckets, "chunk")
@@ -500,55 +531,66 @@ def _answers(chunks: DataFrame, totals: DataFrame, upper: Upper, buckets: int, d
 
 
 def _by_document(chunks: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
-    """Sums each chunk's answers over its texts."""
+    """Sums each chunk's answers over its texts; a task reads its chunks one after the other, texts first."""
     of = chunks.schema["ids"].dataType.elementType
     arrow = to_arrow_type(of)
     columns = ["chunk", "kind", "n", "keys", "counts", "ids", "held", "sizes"]
 
-    def found(table, wanted, value):
-        rows = table.filter(pa.array(table.column("kind").to_numpy() == wanted))
-        keys, values = [], []
-        for n, k, v in zip(*(rows.column(c).to_pylist() for c in ("n", "keys", "counts"))):
-            keys.append(unpacked(k, n, np.uint64))
-            values.append(unpacked(v, n, value))
-        return Found(np.concatenate(keys), np.concatenate(values))
-
-    def run(table: pa.Table) -> pa.Table:
-        meta = table.filter(pa.array(table.column("kind").to_numpy() == TEXTS))
-        ids, held, sizes, size, raw = (meta.column(c)[0].as_py() for c in ("ids", "held", "sizes", "n", "keys"))
+    def run(batches):
+        at, meta, gathered = None, None, None
+        for batch in batches:
+            for row in zip(*(col.to_pylist() for col in batch.columns)):
+                chunk, kind, n, keys, counts, *texts = row
+                if chunk != at:
+                    if meta:
+                        yield scored(*meta, gathered)
+                    at, meta, gathered = chunk, None, {STRINGS: ([], []), WORDS: ([], [])}
+                if kind == TEXTS:
+                    meta = n, keys, *texts
+                else:
+                    gathered[kind][0].append(unpacked(keys, n, np.uint64))
+                    gathered[kind][1].append(unpacked(counts, n, np.float32 if kind == STRINGS else np.int64))
+        if meta:
+            yield scored(*meta, gathered)
+
+    def scored(size, raw, ids, held, sizes, gathered):
         joined = pa.decompress(raw, size, codec="zstd", asbytes=True)
-        ends = np.cumsum(sizes)
-        of_string, of_word = found(table, STRINGS, np.float32), found(table, WORDS, np.int64)
+        of_string, of_word = (Found(*map(np.concatenate, gathered.pop(kind))) for kind in (STRINGS, WORDS))
         end = int(of_word[np.array([_END_WORD])][0])
-        scores, tokens, known, sums = [], [], [], []
-        for part in blocks([joined[b - s : b] for b, s in zip(ends.tolist(), sizes)]):
+        m = len(ids)
+        scores, sums, tokens, known = np.zeros(m), np.zeros(m), np.ones(m, np.int64), np.full(m, int(end > 0), np.int64)
+        sums += math.log10(end + 1)
+        for part in blocks([joined[b - s : b] for b, s in zip(np.cumsum(sizes).tolist(), sizes)], depth, BLOCK):
+            text = np.array([k for k, *_ in part])
             g, n = strings(part, depth)
-            scores.append(np.add.reduceat(of_string[g].astype(np.float64), np.cumsum(n) - n))
-            w, m = block_words(part)
-            c = of_word[w]
-            text = np.repeat(np.arange(len(part)), m)
-            tokens.append(m + 1)
-            known.append(np.bincount(text, c > 0, len(part)).astype(np.int64) + (end > 0))
-            sums.append(np.bincount(text, np.log10(c + 1.0), len(part)) + math.log10(end + 1))
-        tokens, known, sums, scores = (np.concatenate(x) for x in (tokens, known, sums, scores))
-        return pa.table({"doc_id": pa.array(ids, arrow), "held_out": pa.array(held, pa.bool_()), "n_tokens": tokens.astype(np.int64), "n_known": known, "sums": sums, "score": scores})
+            np.add.at(scores, text, np.add.reduceat(of_string[g].astype(np.float64), np.cumsum(n) - n))
+            w, n = block_words(part)
+            c, owner = of_word[w], np.repeat(text, n)
+            tokens += np.bincount(owner, minlength=m)
+            known += np.bincount(owner, c > 0, m).astype(np.int64)
+            sums += np.bincount(owner, np.log10(c + 1.0), m)
+        return pa.RecordBatch.from_pydict(
+            {"doc_id": pa.array(ids, arrow), "held_out": pa.array(held, pa.bool_()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": tokens, "n_known": known, "sums": sums, "score": scores}
+        )
 
     texts = chunks.where(F.col("kind") == TEXTS).select(columns)
     rows = texts.unionByName(answers, allowMissingColumns=True).select(columns)
-    return rows.groupBy("chunk").applyInArrow(run, f"doc_id {of.simpleString()}, held_out boolean, n_tokens long, n_known long, sums double, score double")
+    rows = rows.repartition(partitions(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    return rows.mapInArrow(run, f"doc_id {of.simpleString()}, held_out boolean, n_bytes long, n_tokens long, n_known long, sums double, score double")
 
 
 def score_corpus(docs: DataFrame, folds: int = 7, out_fold: int = 2, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every text."""
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds) == out_fold
     rows = docs.select("doc_id", "text", held.alias("held"))
     buckets = max(64, partitions(docs.sparkSession))
     chunks = written(_chunks(rows, buckets, depth), "chunks")
     totals = written(_totals(chunks, buckets, depth), "totals")
-    words = totals.where((F.col("kind") == WORDS) & F.col("keys").isNotNull())
+    words = totals.where(F.col("kind") == WORDS)
     size = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "n"))).first()
     each = math.log10(size["total"] + size["n"] + 1)
-    answers = _answers(chunks, totals, _upper(totals), buckets, depth)
+    answers = _answers(chunks, totals, _upper(totals, depth), buckets, depth)
     return _by_document(chunks, answers, depth).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(size["total"]).cast("long").alias("train_tokens"), (F.col("sums") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score"
-    )
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(size["total"]).cast("long").alias("train_tokens"), (F.col("sums") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score",
+        (-F.col("score") * F.lit(math.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+    )

@@ -358,8 +358,8 @@ def test_rollup(spark, tmp_path, nulls):
 # ---------------------------------------------------------------- 8 context-tree weighting
 
 
-def brute_ctw(train, text, depth):
-    """Code of one text under trees in plain dictionaries."""
+def brute_ctw(train, texts, depth):
+    """Codes of texts under trees in plain dictionaries."""
     counts = defaultdict(lambda: [0, 0])
     pad = b"\xff" * depth
 
@@ -385,24 +385,30 @@ def brute_ctw(train, text, depth):
             weight[c, node] = math.exp(own - math.log(2) - both[c, node])
         if c:
             below[c[1:], node] += both[c, node]
-    total = 0.0
-    for c, node, bit in steps(text):
-        p = None
-        for d in range(depth, -1, -1):
-            key = c[depth - d :], node
-            n = counts.get(key)
-            if n is None:
-                continue
-            est = (n[bit] + 0.5) / (sum(n) + 1)
-            p = est if p is None else weight[key] * est + (1 - weight[key]) * p
-        total += math.log10(0.5 if p is None else p)
-    return total
-
-
-def test_ctw(docs, texts):
-    some = docs.where("doc_id <> 197")
-    got = {r.doc_id: r for r in ctw.score_corpus(some, depth=3).collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts if i != 197}
+    scores = []
+    for text in texts:
+        total = 0.0
+        for c, node, bit in steps(text):
+            p = None
+            for d in range(depth, -1, -1):
+                key = c[depth - d :], node
+                n = counts.get(key)
+                if n is None:
+                    continue
+                est = (n[bit] + 0.5) / (sum(n) + 1)
+                p = est if p is None else weight[key] * est + (1 - weight[key]) * p
+            total += math.log10(0.5 if p is None else p)
+        scores.append(total)
+    return scores
+
+
+@pytest.mark.parametrize("shape", [{}, {"CHUNK": 4000, "BLOCK": 500, "MERGE": 50, "ROW": 100, "ASKED": 300, "MEMO": 1000}])
+def test_ctw(docs, texts, monkeypatch, shape):
+    """One chunk for each task, and then many of them: the long text in pieces, counts merged and questions answered in parts."""
+    for k, v in shape.items():
+        monkeypatch.setattr(ctw, k, v)
+    got = {r.doc_id: r for r in ctw.score_corpus(docs, depth=3).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     train = [(texts[i] or "").encode() for i in held if not held[i]]
     c = Counter()
     for i in held:
@@ -413,8 +419,33 @@ def test_ctw(docs, texts):
         w = [*WORDS.findall(lower(texts[i])), "\0end"]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in c for x in w), n)
         assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-    for i in (3, 70, 150, 190, 191, 193):
-        assert math.isclose(got[i].score, brute_ctw(train, (texts[i] or "").encode(), 3), rel_tol=1e-4), i
+        assert math.isclose(r.bits_per_byte, -r.score * math.log2(10) / (len((texts[i] or "").encode()) + 1), rel_tol=1e-9)
+    some = [3, 70, 150, 190, 191, 193, 197, *(i for i in held if held[i])]
+    want = brute_ctw(train, [(texts[i] or "").encode() for i in some], 3)
+    for i, w in zip(some, want):
+        assert math.isclose(got[i].score, w, rel_tol=1e-5), i
+
+
+def test_ctw_depths(docs, texts):
+    """Fewer bytes of context than deal strings to buckets, as many, and more."""
+    some = docs.where("doc_id between 60 and 90")
+    train = [(texts[i] or "").encode() for i in range(60, 91) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for depth in (0, 1, 5):
+        got = {r.doc_id: r.score for r in ctw.score_corpus(some, depth=depth).collect()}
+        want = brute_ctw(train, [texts[i].encode() for i in range(60, 91)], depth)
+        assert all(math.isclose(got[i], w, rel_tol=1e-5) for i, w in zip(range(60, 91), want)), depth
+
+
+def test_ctw_pieces():
+    r = random.Random(1)
+    long = b" ".join(bytes(r.choices(b"abc", k=r.randrange(1, 9))) for _ in range(500))
+    texts = [b"", b"ab", long, b"x" * 3000, b"\n" * 900, long[:101]]
+    for size in (10, 100, 10**6):
+        parts = list(ctw.blocks(texts, 4, size))
+        whole = list(ctw.blocks(texts, 4, 10**9))
+        g = [np.concatenate([ctw.strings(p, 4)[0] for p in ps]) for ps in (parts, whole)]
+        w = [np.concatenate([ctw.block_words(p)[0] for p in ps]) for ps in (parts, whole)]
+        assert (g[0] == g[1]).all() and (w[0] == w[1]).all() and len(g[0]) == sum(len(t) + 1 for t in texts)
 
 
 def test_ctw_edges(empty, nulls):
@@ -429,7 +460,7 @@ def test_ctw_keeps_a_rare_bit_after_many(zeros):
     g = np.array([context | 0x60, context | 0x61], np.uint64)  # they differ in the last bit
     counts = np.array([zeros, 10**8])
     n = 10**8 + zeros
-    trees = ctw.Trees(g[counts > 0], counts[counts > 0], 5, ctw.Upper())
+    trees = ctw.Trees(g[counts > 0], counts[counts > 0], 5, ctw.Nodes())
     # all depths have the same counts; the seven bits before are seen n times
     before = 7 * math.log10((n + 0.5) / (n + 1))
     want = [before + math.log10((c + 0.5) / (n + 1)) for c in (zeros, 10**8)]
