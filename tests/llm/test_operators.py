@@ -110,6 +110,32 @@ def test_packing_edges(empty, nulls):
     assert packing.pack(nulls, tokenizer()).count() == 4
 
 
+def test_ids_of_odd_texts():
+    """Long runs of white space, special strings, long words: the library's own ids."""
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(tokenizer()), packing.encoder(tokenizer())
+    for text in (" " * 2_000_000, "\t" * 2_000_000, "\n " * 1_000_000, "x" + " " * 1_200_000 + "y", "x\u00a0" * 40_000 + "\u3000" * 120_000 + "z", " " * (packing.RUN - 1) + "a", "a" * 300_000, "<|endoftext|>" * 3, "it's 12 \r\n\v\f é"):
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids, text[:3]
+
+
+def test_other_tokenizer_files_are_taken_as_they_are(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "The Quick  brown\tfox's 12 é\n\n<|startoftext|>" + " " * 50
+    spec = json.load(open(tokenizer(), encoding="utf-8"))
+    assert packing.plain_byte_bpe(spec)
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "lower.json").write_text(json.dumps(spec), encoding="utf-8")
+    spec["normalizer"], spec["pre_tokenizer"]["add_prefix_space"] = None, True
+    (tmp_path / "space.json").write_text(json.dumps(spec), encoding="utf-8")
+    for path in (str(tmp_path / "lower.json"), str(tmp_path / "space.json"), public_tokenizers.path("word_bpe_49k.json")):
+        assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, path
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_uses_every_length_once(seed):
     r = random.Random(seed)
