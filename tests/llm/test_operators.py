@@ -473,6 +473,56 @@ def test_ctw_pieces():
         w = [np.concatenate([ctw.block_words(p)[0] for p in ps]) for ps in (parts, whole)]
         assert (g[0] == g[1]).all() and (w[0] == w[1]).all() and len(g[0]) == sum(len(t) + 1 for t in texts)
 
+def test_rollup_retries_after_compaction(spark, tmp_path, monkeypatch):
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    make = lambda n: rollup.changes(spark.createDataFrame([("a", "en", n)], "source string, lang string, n long"), "v", F.col("n"))
+    assert r.commit("1", make(5)) and r.commit("2", make(7))
+    r.compact("3")
+    assert not r.commit("2", make(7))
+    with pytest.raises(ValueError):
+        r.commit("3", make(1))
+    total = lambda: {tuple(x)[3:] for x in r.totals().collect()}
+    assert r.batches() == ["3"] and total() == {(2, 12)}
+    assert r.commit("4", make(1))
+    r.compact("5")
+    assert not any(r.commit(b, make(7)) for b in "124") and total() == {(3, 13)}
+    with pytest.raises(ValueError):
+        r.compact("2")
+
+
+@pytest.mark.parametrize("at", ["_publish", "_drop"])
+def test_rollup_survives_a_crash(spark, tmp_path, monkeypatch, at):
+    """Between what a compaction writes and its manifest, and between that and the deletes; and in a commit."""
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    make = lambda n: rollup.changes(spark.createDataFrame([("a", "en", n)], "source string, lang string, n long"), "v", F.col("n"))
+    r.commit("1", make(5))
+    r.commit("2", make(7))
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(rollup.TokenRollup, at, crash)
+        with pytest.raises(OSError):
+            r.compact("3")
+        if at == "_drop":
+            with pytest.raises(OSError):
+                r.commit("4", make(1))
+                r.commit("4", make(1))
+    total = lambda: {tuple(x)[3:] for x in r.totals().collect()}
+    want = {(2, 12)} if at == "_publish" else {(3, 13)}
+    assert total() == want
+    for b, n in (("1", 5), ("2", 7)):
+        r.commit(b, make(n))
+    assert total() == want
+    if at == "_publish":
+        r.compact("3")
+    r.compact("9")
+    assert r.batches() == ["9"] and total() == want
+    (tmp_path / "r" / "batch=8" / "try=1").mkdir(parents=True)  # a commit that never ended
+    assert total() == want and r.commit("8", make(2)) and total() == {(a + 1, b + 2) for a, b in want}
+
+
 
 def test_ctw_edges(empty, nulls):
     assert ctw.score_corpus(empty).collect() == []
