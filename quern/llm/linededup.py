@@ -6,12 +6,15 @@ the lines that its later occurrences cover go, where covered positions merge. A
 occurrence that overlaps the first in the same document leaves the lines of the first.
 
 Only hashes and positions are shuffled to find the repeats, pre-aggregated by window, so
-a window that a third of the documents share is a count and a minimum on each task.
+a window that a third of the documents share is a count and a minimum on each task. They are
+written once, as both the search for first occurrences and that for later ones read them.
 
 Edge cases: a null text stays null and an empty one empty; a document of fewer than three
-lines has no window; repeated rows (same id and text) count as one document and are
-treated alike; a null id comes first; an empty table gives an empty result. Other columns
-pass through, but for ``n_lines`` and ``removed_lines``, which are replaced.
+lines has no window; texts of any length are read whole; repeated rows (same id and text)
+count as one document and are treated alike; among rows of one id with different texts the
+occurrence whose row hashes lowest is first; a null id comes first; an empty table gives an
+empty result. Other columns, whatever their names, pass through, but for ``n_lines`` and
+``removed_lines``, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside, written
+
 LINES = 3
 #: What is trimmed: the white space of Java's ``\\s``.
 _WHITE = " \t\n\x0b\f\r"
@@ -41,7 +46,7 @@ def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
 def repeated(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """doc_id, row and the sorted covered positions of the documents that lose lines."""
-    windows = line_windows(docs, lines)
+    windows = written(line_windows(docs, lines), "windows")
     place = F.struct("doc_id", "row", "p")
     first = windows.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where(~F.col("f").eqNullSafe(F.col("l"))).select("h", "f")
     later = windows.join(first, "h").where(~place.eqNullSafe(F.col("f")))
@@ -72,14 +77,15 @@ def without(texts: pa.Array, covered: pa.Array) -> pa.Array:
 
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """The documents without later occurrences; n_lines and removed_lines count lines that aren't blank."""
-    keep = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
-    gone = repeated(docs, lines).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "covered")
-    rows = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
-    rows = rows.join(gone, (F.col("_h") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    gone = repeated(docs, lines).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "covered")
+    docs = docs.drop("n_lines", "removed_lines")
+    rows, own = aside(docs, "gone_id", "gone_row", "covered", "row")
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = rows.join(gone, (F.col("row") == F.col("gone_row")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     cut = F.arrow_udf(without, "string")  # sees the texts that lose lines, and nulls for the others
     hit = F.col("covered").isNotNull()
     return rows.select(
-        *keep,
+        *(column for name, column in zip(docs.columns, own) if name != "text"),
         F.coalesce(cut(F.when(hit, F.col("text")), F.col("covered")), F.col("text")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(_numbered(F.col("text")))).alias("n_lines"),
         F.when(hit, F.size("covered")).otherwise(0).alias("removed_lines"),
