@@ -6,10 +6,12 @@ without replacement. A source's budget is first spent on complete epochs, then o
 the documents of least key, by a prefix sum of their sizes; the document at which the
 budget ends is taken in part.
 
-Edge cases: a null text has size 0 and is never taken; a null source is a source of
-its own, the last; a null ``doc_id`` counts as the empty id; ties of keys go by
-``doc_id`` and then size; repeated rows are documents of their own; an empty table
-gives an empty result. Columns of the result replace input columns of the same name.
+Edge cases: a null text has size 0, as an empty one, and is never taken; a text of any length
+counts by one expression in the JVM and is never cut; a null source is a source of its own,
+the last; a null ``doc_id`` counts as the empty id; ties of keys go by ``doc_id`` and then
+size; repeated rows are documents of their own; an empty table gives an empty result. ``mix``
+returns columns of its own in place of kept ones of the same names; ``mixed_rows`` returns
+the columns it got, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, before, named, text_of, written
 
-#: Rows that one window group holds, about; sources are cut into so many key ranges.
-GROUP_ROWS = 2_000
+#: Rows of all sources that share a range of keys, about.
+GROUP_ROWS = 500
+_RESULTS = ("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def quality(text):
@@ -46,39 +49,52 @@ def mix(
     its own, and what it can't take goes to the others by weight. ``taken``: words,
     repeats counted. ``copies``: how often the whole document is taken, to the nearest.
     """
+    keep = [c for c in keep if c.lower() not in _RESULTS]
+    return _mixed(docs, weights, share, most, seed, keep).select("doc_id", *(F.col("kept")[c].alias(c) for c in keep), *_RESULTS[1:])
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The documents, each as often as the mix takes it (``copies``), with their own columns."""
+    mixed = _mixed(docs, weights, share, most, seed, docs.columns)
+    return mixed.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("kept.*")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[int], share: float, most: float, seed: str, keep: Sequence[str]) -> DataFrame:
+    """The results, beside them ``kept``: the columns ``keep`` as one, so that no name can clash."""
     text = text_of(docs)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10)
+    kept = [F.struct(*map(named, keep)).alias("kept")] if keep else []
     rows = docs.select(
         "doc_id",
-        *keep,
-        F.col("source").isNull().alias("_none"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
+        *kept,
+        F.col("source").isNull().alias("none"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        (-F.log((draw.cast("double") + 0.5) / F.lit(float(2**52))) / quality(text)).alias("_key"),
+        quality(text).alias("quality"),
+        (-F.log((draw.cast("double") + 0.5) / F.lit(float(2**52)))).alias("draw"),
     )
-    if not keep:  # small rows: cheaper to write than to compute twice
-        rows = written(rows, "mix")
-    n = rows.count()
+    rows = written(rows, "mix")  # texts are read once; sums then read numbers only
+    n, mean = rows.agg(F.count(F.lit(1)), F.avg("quality")).first()
     ranges = max(1, -(-n // GROUP_ROWS))
-    rows = rows.withColumn("_range", F.floor(F.col("_key") / (1 + F.col("_key")) * ranges).cast("int"))
+    # the share of keys below a key, if all had the mean quality: ranges are about even, and rising with the key in any case
+    below = 1 - F.exp(-F.col("key") * F.lit(mean or 1.0))
+    rows = rows.withColumn("key", F.col("draw") / F.col("quality")).withColumn("range", F.least(F.lit(ranges - 1), F.floor(below * ranges)).cast("long"))
 
-    key = ["_none", "_source"]
-    parts = rows.groupBy(*key, "_range").agg(F.sum("size").alias("_words"))
-    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*key, "_range", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
-    targets = source_targets(rows.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, share, most)
-    parts = parts.join(targets, key)
+    key = ["none", "name"]
+    parts = rows.groupBy(*key, "range").agg(F.sum("size").alias("words"))
+    targets = source_targets(parts.groupBy(*key).agg(F.sum("words").alias("source_size")), weights, share, most)
+    parts = before(parts, key, "range", "words").join(targets, key)
 
-    row = Window.partitionBy(*key, "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_earlier", F.coalesce(F.sum("size").over(row), F.lit(0)))
+    row = Window.partitionBy(*key, "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("earlier", F.coalesce(F.sum("size").over(row), F.lit(0)))
     budget = F.floor("target").cast("long")
     whole = F.greatest(F.col("source_size"), F.lit(1))
     epochs = F.floor(budget / whole).cast("long")
-    rest = budget - epochs * whole - F.col("_before") - F.col("_earlier")
+    rest = budget - epochs * whole - F.col("before") - F.col("earlier")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.join(parts, [*key, "_range"]).select(
+    return rows.join(parts, [*key, "range"]).select(
         "doc_id",
-        *keep,
+        *(["kept"] if keep else []),
         "size",
         "source_size",
         "target",
@@ -93,13 +109,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     Works on one row per source. With sources in order of the level at which they are
     full, the level that spends the total is the first that its own source can hold.
     """
-    order = Window.orderBy("_none", "_source")
-    sizes = sizes.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("double"))
-    sizes = sizes.withColumn("_most", F.col("source_size") * F.lit(float(most))).withColumn("_full", F.col("_most") / F.col("_w"))
-    fill = Window.orderBy("_full", "_none", "_source")
-    full = F.coalesce(F.sum("_most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("_w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    sizes = sizes.withColumn("_level", (F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)) - full) / left)
-    level = F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_full", "_level"))).over(Window.partitionBy())["_level"]
-    target = F.least(F.col("_most"), F.coalesce(level, F.max("_full").over(Window.partitionBy())) * F.col("_w"))
-    return sizes.select("_none", "_source", "source_size", target.alias("target"))
+    order = Window.orderBy("none", "name")
+    sizes = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("double"))
+    sizes = sizes.withColumn("most", F.col("source_size") * F.lit(float(most))).withColumn("full", F.col("most") / F.col("w"))
+    fill = Window.orderBy("full", "none", "name")
+    full = F.coalesce(F.sum("most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing))
+    sizes = sizes.withColumn("level", (F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)) - full) / left)
+    level = F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "level"))).over(Window.partitionBy())["level"]
+    target = F.least(F.col("most"), F.coalesce(level, F.max("full").over(Window.partitionBy())) * F.col("w"))
+    return sizes.select("none", "name", "source_size", target.alias("target"))
