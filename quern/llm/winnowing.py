@@ -1,15 +1,22 @@
 """Winnowing fingerprints by DataFrame functions only.
 
-The words of a text (lower-cased) give rolling hashes of ``k`` words; of every ``w`` hashes
-in a row the least is chosen, on ties the rightmost. Any two texts that share
-``w + k - 1`` words in a row share a chosen hash. A chosen hash keeps its position: hash
-and reversed position are packed in one long, ``hash << 28 | (2**28 - 1 - position)``,
-whose minimum is the least hash at its rightmost place.
-
-Edge cases: a null text is empty; a text without words has no chosen hash, one of fewer
-than ``k`` words has one over all of them, one of fewer than ``w`` hashes their least;
-two empty fingerprints are alike (1.0), an empty and another are not (0.0); other columns
-are ignored.
+The words of a text (lower-cased) are hashed once each; every ``k`` in a row have the value
+of a rolling hash, a polynomial in ``BASE`` over their hashes modulo ``PRIME``. Of every ``w``
+values in a row the least is chosen, on ties the rightmost. Any two texts that share
+``w + k - 1`` words in a row share a chosen value. A chosen value keeps its position: value
+and reversed position are packed in one long, ``value << 28 | (2**28 - 1 - position)``,
+whose minimum is the least value at its rightmost place.
+
+A running state would be copied at every step of ``aggregate``; instead the values of all
+positions, and the minima of all windows, come by doubling: those of 2n words from two of n.
+Each is a fixed number of array passes, as much work for a position as rolling, with the same values.
+
+Edge cases: a null text is empty; a text without words has no chosen value, one of fewer
+than ``k`` words has one over all of them, one of fewer than ``w`` values their least; texts
+of up to 2**28 words keep exact positions; two empty fingerprints are alike (1.0), an empty
+and another are not (0.0); rows of one id, repeated ones among them, are in order of their
+texts, as are those of null ids, which are last; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,58 +24,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, partitions, text_of
 
 K, W = 4, 8
+#: The modulus, a prime, and the base of the polynomial; the product of a value and base**2 fits a long.
+PRIME, BASE = 2**35 - 31, 8191
 _PLACE = 28
 _LAST = (1 << _PLACE) - 1
 #: Documents that share a range of ids, about, when each is given its neighbour.
 RANGE_ROWS = 2_000
-#: Ranges up to which a row of two numbers for each is broadcast.
-SENT = 100_000
+#: Ranges up to which a row of two numbers for each is broadcast, in a block of which neighbours are found, and in a partition.
+SENT, BLOCK, TOGETHER = 100_000, 4_096, 8
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
-    """Packed chosen hashes, by position."""
-    return F.transform(F.array(text), lambda t: _chosen(F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)), k, w))[0]
+    """Packed chosen values, by position."""
+    none = F.array().cast("array<bigint>")
+    word_hashes = lambda t: F.transform(F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)), lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - 35) % F.lit(PRIME))
+    return bound(word_hashes(text), lambda h: F.when(F.size(h) == 0, none).otherwise(bound(_packed(h, k), lambda v: _minima(v, w))))
+
+
+def rolled(h: Column, k: int) -> Column:
+    """Of each position the value of its ``k`` hashes: h[i] * BASE**(k-1) + ... + h[i+k-1], modulo PRIME. ``h`` has ``k`` or more."""
+    out, n = h, 1
+    for bit in bin(k)[3:]:
+        out = _with_later(out, out, n, lambda a, b: (_times(a, n) + b) % F.lit(PRIME))
+        n *= 2
+        if bit == "1":
+            out = _with_later(out, h, n, lambda a, b: (_times(a, 1) + b) % F.lit(PRIME))
+            n += 1
+    return F.slice(out, 1, F.size(h) - (k - 1))  # what zip_with pads with nulls is behind that
+
+
+def _with_later(a: Column, b: Column, n: int, use) -> Column:
+    """``use`` of each element of ``a`` and the one ``n`` places later in ``b``."""
+    if a is b:
+        return bound(a, lambda x: F.zip_with(x, F.slice(x, n + 1, F.size(x)), use))
+    return F.zip_with(a, F.slice(b, n + 1, F.size(b)), use)
 
 
-def _chosen(words: Column, k: int, w: int) -> Column:
-    return F.transform(
-        F.array(words),
-        lambda x: F.transform(
-            F.array(_packed(x, k)),
-            lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(_minima(h, w)),
-        )[0],
-    )[0]
+def _times(x: Column, n: int) -> Column:
+    """x * BASE**n modulo PRIME, in steps that fit a long."""
+    while n > 0:
+        x = x * F.lit(BASE ** min(n, 2)) % F.lit(PRIME)
+        n -= 2
+    return x
 
 
-def _packed(x: Column, k: int) -> Column:
-    last = F.greatest(F.size(x) - k, F.lit(0))
-    gram = lambda i: F.xxhash64(*(F.get(x, i + F.lit(j)) for j in range(k)))
-    packed = lambda i: F.shiftrightunsigned(gram(i), _PLACE + 1) * F.lit(1 << _PLACE) + (F.lit(_LAST) - i)
-    return F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), last), packed))
+def _packed(h: Column, k: int) -> Column:
+    """Values of all positions over their places; of fewer than ``k`` words one, as if zeros followed."""
+    full = F.concat(h, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(k) - F.size(h), F.lit(0))))
+    return F.transform(bound(full, lambda x: rolled(x, k)), lambda v, i: v * F.lit(1 << _PLACE) + (F.lit(_LAST) - i))
 
 
-def _minima(h: Column, w: int) -> Column:
-    last = F.greatest(F.size(h) - w, F.lit(0))
-    # least() passes over the nulls that get() gives behind the end of a short text
-    least = lambda i: F.least(*(F.get(h, i + F.lit(j)) for j in range(w)))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), least))
+def _minima(v: Column, w: int) -> Column:
+    """The distinct minima of ``w`` in a row; least() passes over the nulls behind the end."""
+    out, n = v, 1
+    while n < w:
+        step = min(n, w - n)
+        out = _with_later(out, out, step, lambda a, b: F.least(a, b))
+        n += step
+    return F.array_distinct(F.slice(out, 1, F.greatest(F.size(v) - (w - 1), F.lit(1))))
 
 
 def hashes(chosen: Column) -> Column:
-    """The distinct chosen hashes, without their positions."""
+    """The distinct chosen values, without their positions."""
     return F.array_distinct(F.transform(chosen, lambda c: F.shiftrightunsigned(c, _PLACE)))
 
 
 def positions(chosen: Column) -> Column:
-    """Number of the first word of each chosen hash."""
+    """Number of the first word of each chosen value."""
     return F.transform(chosen, lambda c: F.lit(_LAST) - c.bitwiseAND(F.lit(_LAST)))
 
 
 def digest(chosen: Column) -> Column:
-    """Number of chosen hashes, and a digest over them and their positions."""
+    """Number of chosen values, and a digest over them and their positions."""
     return F.concat(F.size(chosen).cast("string"), F.lit(":"), F.md5(F.array_join(F.transform(chosen, lambda c: F.hex(c)), ",")))
 
 
@@ -111,22 +146,34 @@ def with_next(docs: DataFrame, group_rows: int = RANGE_ROWS) -> DataFrame:
     number, ranges = _ranges(docs, group_rows)
     rows = docs.select(number.alias("range"), "doc_id", text_of(docs).alias("text"), F.lit(0).alias("guest"))
     heads = docs.select(number.alias("range"), "doc_id").groupBy("range").agg(F.max("doc_id").alias("head"))
-    down = Window.orderBy(F.desc("range"))
-    every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # the next range exists even if its head is the null id, so lead() looks for the range
-    follows = F.when(F.lead("range").over(down).isNotNull(), F.lead("head").over(down)).otherwise(F.first("head").over(every))
-    heads = heads.select(F.col("range").alias("of"), follows.alias("head"))
+    heads = _followed(heads).select(F.col("range").alias("of"), "head")
     if ranges <= SENT:  # a row for each range: of a checked size
         heads = F.broadcast(heads)
     guests = docs.select(F.col("doc_id").alias("id"), text_of(docs).alias("t")).join(heads, F.col("id").eqNullSafe(F.col("head")))
     guests = guests.groupBy("of", "head").agg(F.min("t").alias("t"))
     rows = rows.unionByName(guests.select(F.col("of").alias("range"), F.col("head").alias("doc_id"), F.col("t").alias("text"), F.lit(1).alias("guest")))
-    rows = rows.withColumn("chosen", winnow(F.col("text")))
+    rows = rows.withColumn("chosen", winnow(F.col("text"))).repartition(max(partitions(docs.sparkSession), ranges // TOGETHER), "range")
     order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
     rows = rows.select("doc_id", "text", "chosen", "guest", F.lead("text").over(order).alias("next_text"), F.lead("chosen").over(order).alias("next_chosen"))
     return rows.where("guest = 0").drop("guest")
 
 
+def _followed(heads: DataFrame) -> DataFrame:
+    """(range, head) with the head of the next range by falling number that is there, after the last that of the first.
+
+    Neighbours are found within blocks of ranges, and a row for each block tells what follows
+    it. Heads are wrapped, as one may be the null id.
+    """
+    heads = heads.select("range", F.struct("head").alias("own"), F.floor(F.col("range") / BLOCK).alias("block"))
+    inner = Window.partitionBy("block").orderBy(F.desc("range"))
+    down = Window.orderBy(F.desc("block"))
+    blocks = heads.groupBy("block").agg(F.max_by("own", "range").alias("first"))
+    every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = blocks.select("block", F.coalesce(F.lead("first").over(down), F.first("first").over(every)).alias("after"))
+    heads = heads.select("range", "block", F.lead("own").over(inner).alias("next")).join(blocks, "block")
+    return heads.select("range", F.coalesce("next", "after")["head"].alias("head"))
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edit, and how alike they and the next text are.
 

@@ -561,27 +561,25 @@ def test_winnowing(spark, docs, texts):
         cut = len(text) // 3
         edited = text[: len(text) - cut] + follow[:cut]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[194].fingerprint == got[195].fingerprint and got[194].near_next == 0.0 or got[195].near_next == 1.0
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (digest(own), digest(changed))
+        assert math.isclose(got[i].near_edited, near(own, changed)) and math.isclose(got[i].near_next, near(own, after))
+    assert got[194].fingerprint == got[195].fingerprint and got[195].near_next == 1.0
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_next_document(docs, texts, nulls, monkeypatch, block):
+    monkeypatch.setattr(winnowing, "BLOCK", block)
+    ids = sorted(texts, reverse=True)
     small = {r.doc_id: r.next_text for r in winnowing.with_next(docs, group_rows=7).collect()}
     assert small == {i: texts[ids[(k + 1) % len(ids)]] or "" for k, i in enumerate(ids)}
 
 
-def test_winnow_chooses_the_rightmost_least(spark, texts):
-    some = [t for t in texts.values() if t and len(t) < 3000]
-    k, w = winnowing.K, winnowing.W
-    grams = lambda: F.transform(F.sequence(F.lit(0), F.greatest(F.size("x") - k, F.lit(0))), lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get("x", i + j) for j in range(k))), 29))
-    df = spark.createDataFrame([(t,) for t in some], "t string").withColumn("x", F.regexp_extract_all(F.lower("t"), F.lit(common.WORD), F.lit(0)))
-    rows = df.select("x", grams().alias("h"), winnowing.winnow(F.col("t")).alias("c"))
-    for r in rows.select("x", "h", winnowing.positions(F.col("c")).alias("p"), F.transform("c", lambda c: F.shiftrightunsigned(c, 28)).alias("v")).collect():
-        want = []
-        if r.x:
-            for a in range(max(1, len(r.h) - w + 1)):
-                part = r.h[a : a + w]
-                best = max(j for j, y in enumerate(part) if y == min(part)) + a
-                if not want or want[-1] != best:
-                    want.append(best)
-        assert r.p == want and r.v == [r.h[j] for j in want]
+@pytest.mark.parametrize(("k", "w"), [(1, 1), (2, 3), (3, 5), (5, 4), (7, 9)])
+def test_winnow_of_other_sizes(spark, texts, k, w):
+    some = [t for t in texts.values() if t and len(t) < 3000][::4]
+    rows = spark.createDataFrame([(t,) for t in some], "t string").select("t", winnowing.winnow(F.col("t"), k, w).alias("c"))
+    for r in rows.select("t", winnowing.positions(F.col("c")).alias("p"), F.transform("c", lambda c: F.shiftrightunsigned(c, 28)).alias("v")).collect():
+        assert list(zip(r.v, r.p)) == brute_winnow(r.t, k, w)
 
 
 def test_winnowing_edges(empty, nulls):
@@ -625,3 +623,37 @@ def test_mixing(docs, texts):
 def test_mixing_edges(empty, nulls):
     assert mixing.mix(empty).collect() == []
     assert mixing.mix(nulls, keep=["text", "n"]).count() == 4
+def brute_winnow(text, k=winnowing.K, w=winnowing.W):
+    """(value, position) of the chosen grams, one at a time."""
+    import xxhash
+
+    h = [(xxhash.xxh64_intdigest(x.encode(), seed=42) >> 29) % winnowing.PRIME for x in WORDS.findall(text.lower())]
+    if not h:
+        return []
+    h += [0] * (k - len(h))
+    roll, values = 0, []
+    for i, x in enumerate(h):
+        roll = (roll * winnowing.BASE + x - (h[i - k] * winnowing.BASE**k if i >= k else 0)) % winnowing.PRIME
+        if i >= k - 1:
+            values.append(roll)
+    out = []
+    for a in range(max(1, len(values) - w + 1)):
+        part = values[a : a + w]
+        at = a + max(j for j, y in enumerate(part) if y == min(part))
+        if not out or out[-1][1] != at:
+            out.append((values[at], at))
+    return out
+
+
+
+    def digest(chosen):
+        return f"{len(chosen)}:{hashlib.md5(','.join(f'{v << 28 | (2**28 - 1 - p):X}' for v, p in chosen).encode()).hexdigest()}"
+
+    def near(a, b):
+        a, b = {v for v, _ in a}, {v for v, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+        own, changed, after = map(brute_winnow, (text, edited, follow))
+    got = sorted((r.doc_id or 0, r.text, r.next_text) for r in winnowing.with_next(nulls, group_rows=1).collect())
+    same = "a b c d e f"
+    assert got == [(0, "", same), (0, same, same), (1, same, ""), (1, same, same)] or got == [(0, "", same), (0, same, same), (1, same, same), (1, same, "")]
