@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = session(args.master)
     spark.sparkContext.setLogLevel("ERROR")
-    stdin = (line.rstrip("\n") for line in sys.stdin) if not args.files or "-" in args.files else None
+    stdin = (line.removesuffix("\n") for line in sys.stdin) if not args.files or "-" in args.files else None
     to = open(args.output, "w", encoding="utf-8", newline="") if args.output else sys.stdout  # noqa: SIM115
     try:
         if query.follows:
@@ -97,6 +97,12 @@ def main(argv: list[str] | None = None) -> int:
 
             follow(spark, args.files, query, lambda line: print(line, file=to, flush=True))
             return 0
+        if args.files in ([], ["-"]) and not args.stats:
+            from .streaming.tail import can_listen, listen
+
+            if can_listen(query):
+                listen(spark, stdin, query, lambda line: print(line, file=to, flush=True))
+                return 0
         engine = Engine(spark, args.files, stdin)
         for part in engine.output(query):
             for row in part.toLocalIterator():

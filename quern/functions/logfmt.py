@@ -7,6 +7,8 @@ times see) leaves them, ``unescape`` (what groups, lists and outputs see) decode
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ PAIRS = "array<struct<k: string, v: string>>"
 
 # a stray ``=...``, or a key with an optional value: quoted up to its closing quote, or all to the next space
 _TOKEN = r'(?s)=[^ ]*|([^= ]+)(?:=("[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[^ ]*))?'
+# the same again, for patterns that walk over whole pairs from the start of a line and never back
+VALUE = r'(?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[^ ]*+)'
+_BETWEEN = r"(?: |=[^ ]*+)*+"
 _PIECE = r"(?s)[^\\]+|\\.|\\\z"
 
 
@@ -45,17 +50,34 @@ def first_value(pairs: Column, key: str) -> Column:
     return F.get(F.filter(pairs, lambda p: p["k"] == F.lit(key)), F.lit(0))["v"]
 
 
-def first_value_of_line(line: Column, key: str) -> Column:
-    """``first_value`` straight from the line, in two flat arrays.
+def seek(wanted: str) -> str:
+    """A pattern that finds the first pair, within the limit of pairs, at which ``wanted`` matches."""
+    return rf"(?s)\A(?:{_BETWEEN}(?!{wanted})[^= ]++(?:={VALUE})?+){{0,{MOST_PAIRS - 1}}}+{_BETWEEN}(?:{wanted})"
 
-    Cheaper than building pairs; exact for lines within the limit of pairs, and the
-    pairs are built only for the others.
-    """
-    keys = F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(1))
-    values = F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(2))
-    at = F.array_position(keys, F.lit(key))
-    quick = F.when(at > 0, F.get(values, (at - 1).cast("int")))
-    return F.when(F.size(keys) > MOST_PAIRS, first_value(pairs(line), key)).otherwise(quick)
+
+def seek_twice(wanted: str) -> str:
+    """A pattern that finds two such pairs; it may find the second beyond the limit of pairs."""
+    pair = rf"[^= ]++(?:={VALUE})?+"
+    return seek(wanted) + rf"(?:={VALUE})?+(?:{_BETWEEN}(?!{wanted}){pair})*+{_BETWEEN}(?:{wanted})"
+
+
+def key_pattern(*keys: str) -> str | None:
+    """What matches these keys where a pair begins; nothing if a line can't have such keys."""
+    possible = [java_literal(k) for k in keys if k and not re.search("[= ]", k)]
+    return rf"(?:{'|'.join(possible)})(?=[= ]|\z)" if possible else None
+
+
+def java_literal(text: str) -> str:
+    return re.sub(r"([^\w])", r"\\\1", text, flags=re.ASCII) if text.isascii() else r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def first_value_of_line(line: Column, key: str) -> Column:
+    """``first_value`` straight from the line: one pattern that stops at the pair, no pairs built."""
+    pattern = key_pattern(key)
+    if pattern is None:
+        return F.lit(None).cast("string")
+    pair = F.regexp_extract(line, seek(pattern).removesuffix(f"(?:{pattern})") + f"({pattern}(?:={VALUE})?+)", 1)
+    return F.when(pair != "", F.substring(pair, len(key) + 2, 2**31 - 1))
 
 
 def strip_quotes(v: Column) -> Column:

@@ -10,9 +10,9 @@ from .times import format_ns
 
 #: Greatest whole number that a JSON reader keeps exactly.
 MOST_JSON = 2**53 - 1
-#: Terminal codes.
-_RESET, _KEY, _QUOTE = "\x1b[0m", "\x1b[36m", "\x1b[32m"
-_LEVELS = {"trace": "\x1b[90m", "debug": "\x1b[34m", "info": "\x1b[32m", "notice": "\x1b[36m", "warn": "\x1b[33m", "warning": "\x1b[33m", "error": "\x1b[31m", "err": "\x1b[31m", "critical": "\x1b[35m", "crit": "\x1b[35m", "fatal": "\x1b[35m", "alert": "\x1b[35m", "emerg": "\x1b[35m", "panic": "\x1b[35m"}
+#: Terminal codes of keys, times, quotes and levels.
+_RESET, _BOLD, _TIME, _QUOTE = "\x1b[0m", "\x1b[1m", "\x1b[34m", "\x1b[1;34m"
+_LEVELS = {"critical": "\x1b[97;41m", "crit": "\x1b[97;41m", "error": "\x1b[31m", "fatal": "\x1b[31m", "warn": "\x1b[33m", "warning": "\x1b[33m", "info": "\x1b[34m", "debug": "\x1b[90m", "trace": "\x1b[90m"}
 
 
 def json_text(v: Column) -> Column:
@@ -32,13 +32,18 @@ def logfmt_row(pairs: Column) -> Column:
 
 
 def color_row(pairs: Column) -> Column:
-    """``logfmt_row`` for a terminal: keys, quoted values and levels in colour."""
+    """``logfmt_row`` for a terminal: bold keys, blue times, quotes set apart, and ``level`` bold in the colour of the
+    first level, whose name counts in lower or upper case only."""
+    names = F.create_map(*(F.lit(x) for name, paint in _LEVELS.items() for x in (name, paint, name.upper(), paint)))
+    first = F.get(F.filter(pairs, lambda p: p["k"] == "level"), F.lit(0))["v"]
+    level = F.coalesce(F.try_element_at(names, F.regexp_replace(first, r'^"+|"+\z', "")), F.lit(""))
 
     def one(p):
-        level = F.try_element_at(F.create_map(*(F.lit(x) for kv in _LEVELS.items() for x in kv)), F.lower(strip_quotes(p["v"])))
-        paint = F.when(p["k"].isin("level", "lvl", "severity") & level.isNotNull(), level).when(p["v"].startswith('"'), F.lit(_QUOTE))
-        value = F.when(paint.isNotNull(), F.concat(paint, p["v"], F.lit(_RESET))).otherwise(p["v"])
-        return F.concat(F.lit(_KEY), p["k"], F.lit(_RESET), F.lit("="), value)
+        paint = F.when(p["k"].isin("time", "ts"), F.lit(_TIME)).when(p["k"] == "level", F.concat(F.lit(_BOLD), level)).otherwise(F.lit(""))
+        quoted = p["v"].startswith('"') & p["v"].endswith('"') & (F.length(p["v"]) >= 2)
+        quote = F.when(quoted, F.lit(f'{_QUOTE}"{_RESET}')).otherwise(F.lit(""))
+        after = F.when(paint == "", F.lit("")).otherwise(F.lit(_RESET))
+        return F.concat(F.lit(_BOLD), p["k"], F.lit(f"{_RESET}="), quote, paint, strip_quotes(p["v"]), after, quote)
 
     return F.array_join(F.transform(pairs, one), " ")
 

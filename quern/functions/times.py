@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .logfmt import strip_quotes
+from .logfmt import VALUE, key_pattern, seek, strip_quotes
 
 NS = 1_000_000_000
 _FORM = r"^(\d{4}-\d\d-\d\d)[Tt ](\d\d):(\d\d):(\d\d)(?:\.(\d{1,9}))?(?:[Zz]|([+-])(\d\d)(?::?(\d\d))?)?\z"
@@ -19,8 +19,20 @@ def _bound(value: Column, use) -> Column:
 def parse_ns(text: Column) -> Column:
     """RFC 3339 (no suffix: UTC; second 60 rolls over) as nanoseconds; null if it isn't one or doesn't fit.
 
-    The grammar is matched once; after that the places of all but fraction and zone are known.
+    The usual form, in UTC with at most microseconds, is told by its digits' places and read as
+    Spark's own timestamp; for all others the grammar is matched once, after which the places
+    of all but fraction and zone are known.
     """
+    return _bound(text, lambda t: F.coalesce(_usual(t), _any_form(t)))
+
+
+def _usual(t: Column) -> Column:
+    form = F.translate(t, "123456789", "000000000")
+    usual = form.isin(*("0000-00-00T00:00:00" + ("." + "0" * n if n else "") + "Z" for n in range(7)))
+    return F.when(usual, F.try_multiply(F.unix_micros(t.try_cast("timestamp")), F.lit(1000).cast("bigint")))
+
+
+def _any_form(text: Column) -> Column:
     number = lambda c: c.try_cast("bigint")
     zero = F.lit(0).cast("bigint")
 
@@ -49,9 +61,9 @@ def parse_ns(text: Column) -> Column:
     return _bound(_bound(_bound(text, fields), seconds), nanoseconds)
 
 
-def time_of(pairs: Column) -> Column:
-    """Time of a line: of its first ``time`` or ``ts`` pair, which alone decides."""
-    raw = F.get(F.filter(pairs, lambda p: p["k"].isin("time", "ts")), F.lit(0))["v"]
+def time_of(line: Column) -> Column:
+    """Time of a line: of its first ``time`` or ``ts`` pair, which alone decides. No pairs are built."""
+    raw = F.regexp_extract(line, seek(key_pattern("time", "ts")) + f"(?:=({VALUE}))?+", 1)
     return parse_ns(_bound(raw, strip_quotes))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.logfmt import first_value, unescape
+from ..functions.logfmt import first_value_of_line, unescape
 from ..functions.times import floor_to
 from ..plans.durations import parse_duration
 from ..plans.query import Query, QueryError
@@ -46,7 +46,7 @@ def grid_of(query: Query, window: tuple[int | None, int | None]) -> Grid | None:
 
 def key_columns(keys: tuple[str, ...]) -> list[Column]:
     """Group keys: the decoded first value, or the empty text where the key is missing."""
-    return [F.coalesce(unescape(first_value(F.col("pairs"), k)), F.lit("")).alias(f"key.{k}") for k in keys]
+    return [F.coalesce(unescape(first_value_of_line(F.col("raw"), k)), F.lit("")).alias(f"key.{k}") for k in keys]
 
 
 def counted(df: DataFrame, keys: tuple[str, ...] = (), grid: Grid | None = None, fill: bool = False) -> DataFrame:
@@ -86,7 +86,7 @@ def distinct_keys(df: DataFrame) -> DataFrame:
 
 def distinct_values(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Distinct decoded first values of each key, sorted; a key asked for twice is reported twice."""
-    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("key"), unescape(first_value(F.col("pairs"), k)).alias("value")) for i, k in enumerate(keys)))
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("key"), unescape(first_value_of_line(F.col("raw"), k)).alias("value")) for i, k in enumerate(keys)))
     rows = df.select(F.inline(each)).where("value is not null").distinct()
     return rows.orderBy("i", "value")
 
@@ -136,7 +136,7 @@ def totals(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def raw_totals(df: DataFrame) -> DataFrame:
     """One row over lines: their number, distinct levels, span and rate."""
-    level = unescape(first_value(F.col("pairs"), "level"))
+    level = unescape(first_value_of_line(F.col("raw"), "level"))
     out = df.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(level).alias("levels"), (F.max("ts_ns") - F.min("ts_ns")).alias("span_ns"))
     return out.withColumn("rate", F.when(F.col("span_ns") > 0, F.col("lines") / (F.col("span_ns") / 1e9)))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.logfmt import PAIRS, escape, first_value, unescape
+from ..functions.logfmt import PAIRS, escape, first_value_of_line, unescape
 from ..plans.durations import SpecError, parse_bound
 from ..plans.filters import parse, to_column
 from ..plans.query import Query
@@ -29,13 +31,13 @@ def anchors(df: DataFrame) -> tuple[int | None, int | None]:
     return tuple(ends.agg(F.min("first"), F.max("last")).first())
 
 
-def window_of(query: Query, df: DataFrame) -> tuple[int | None, int | None]:
-    """The bounds in nanoseconds; lines are read for anchors only if a bound has one."""
+def window_of(query: Query, ends: DataFrame | Callable[[], tuple[int | None, int | None]]) -> tuple[int | None, int | None]:
+    """The bounds in nanoseconds; ``ends``, parsed lines or what tells their anchors, is asked only if a bound has one."""
     low = parse_bound(query.time_from) if query.time_from is not None else None
     high = parse_bound(query.time_to) if query.time_to is not None else None
     start = end = None
     if any(b is not None and b.anchored for b in (low, high)):
-        start, end = anchors(df)
+        start, end = anchors(ends) if isinstance(ends, DataFrame) else ends()
     return low and low.resolve(start, end, False), high and high.resolve(start, end, True)
 
 
@@ -49,7 +51,7 @@ def span(df: DataFrame) -> tuple[int, int]:
 
 def matched(query: Query, bounds: tuple[int | None, int | None]) -> Column:
     """Whether a line is in the window and passes all filters."""
-    tests = [to_column(parse(e), F.col("pairs")) for e in query.where]
+    tests = [to_column(parse(e), F.col("pairs"), F.col("raw")) for e in query.where]
     window = in_window(F.col("ts_ns"), *bounds)
     out = window
     for test in tests:
@@ -65,7 +67,7 @@ def sampled(query: Query) -> Column | None:
     keep = F.lit(bool(query.sample_rate)) if query.sample_rate in (0, 1) else draw < F.lit(query.sample_rate)
     if query.sample_if is None:
         return keep
-    return ~to_column(parse(query.sample_if), F.col("pairs")) | keep
+    return ~to_column(parse(query.sample_if), F.col("pairs"), F.col("raw")) | keep
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:
@@ -107,7 +109,7 @@ def edited(pairs: Column, remove: tuple[str, ...], add: tuple[tuple[str, str], .
 
 def value_of(key: str) -> Column:
     """Decoded first value of a key; null if no pair has it."""
-    return unescape(first_value(F.col("pairs"), key))
+    return unescape(first_value_of_line(F.col("raw"), key))
 
 
 def sorted_by(df: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.logfmt import strip_quotes
+from ..functions.logfmt import first_value_of_line, java_literal, key_pattern, seek, seek_twice, strip_quotes
 
 
 class FilterError(ValueError):
@@ -218,45 +218,104 @@ def _ordered(v: Column, op: str, value: str) -> Column:
     return as_text
 
 
+#: What the bracketed class names stand for.
+_CLASSES = {
+    "alnum": r"0-9A-Za-z", "alpha": r"A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t\x20", "cntrl": r"\x00-\x1F\x7F", "digit": r"0-9",
+    "graph": r"\x21-\x7E", "lower": r"a-z", "print": r"\x20-\x7E", "punct": r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E", "space": r"\t\n\x0B\f\r\x20",
+    "upper": r"A-Z", "word": r"0-9A-Za-z_", "xdigit": r"0-9A-Fa-f",
+}
+_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]+))?([:)])")
+_NAMED = re.compile(r"\[:(\^?)(\w+):\]")
+_CODE = re.compile(r"\\[uUx]\{([0-9A-Fa-f]+)\}")
+_PROPERTY = re.compile(r"\\([pP])\{(\^?)(\w{3,})\}")
+
+
 def java_regex(pattern: str) -> str:
-    """The pattern for Java's engine: Unicode classes, a dot that only LF stops, ``$`` as the very end."""
-    try:
-        re.compile(re.sub(r"\\[pP](\{[^}]*\}|.)", r"\\w", pattern).replace(r"\z", r"\Z"))
-    except re.error as e:
-        raise FilterError(f"bad regex {pattern!r}: {e}") from e
-    out, i, inside = [], 0, False
+    """The pattern for Java's engine: Unicode classes, a dot that only LF stops, ``$`` as the very end unless lines are asked for."""
+    out, i, depth = [], 0, 0
+    lines = [False]  # of each open group, whether (?m) holds
     while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            if not inside and pattern[i + 1] in "123456789k":
+        c, rest = pattern[i], pattern[i:]
+        if c == "\\":
+            if i + 1 == len(pattern):
+                raise FilterError(f"bad regex {pattern!r}: a backslash at its end")
+            if not depth and pattern[i + 1] in "123456789k":
                 raise FilterError(f"back-references are not supported: {pattern!r}")
-            out.append(pattern[i : i + 2])
-            i += 2
+            if found := _CODE.match(rest):
+                out.append(rf"\x{{{found[1]}}}")
+            elif found := _PROPERTY.match(rest):
+                out.append(rf"\{'p' if (found[1] == 'p') == (not found[2]) else 'P'}{{Is{found[3]}}}")
+            else:
+                out.append(pattern[i : i + 2])
+            i += found.end() if found else 2
             continue
-        if inside:
-            inside = c != "]"
+        if depth:
+            if found := _NAMED.match(rest):
+                if found[2] not in _CLASSES:
+                    raise FilterError(f"unknown class {found[0]} in {pattern!r}")
+                out.append(f"[{found[1]}{_CLASSES[found[2]]}]")
+                i += found.end()
+                continue
+            depth += (c == "[") - (c == "]")
         elif c == "[":
-            inside = True
-            if pattern[i + 1 : i + 2] == "]" or pattern[i + 1 : i + 3] == "^]":
-                k = 2 if pattern[i + 1] == "]" else 3
-                out.append(pattern[i : i + k].replace("]", r"\]"))
-                i += k
+            depth = 1
+        elif c == "(":
+            if re.match(r"\(\?(?:=|!|>|<=|<!)", rest):
+                raise FilterError(f"look-around is not supported: {pattern!r}")
+            if rest.startswith("(?P<"):
+                out.append("(?<")
+                lines.append(lines[-1])
+                i += 4
                 continue
-        elif c == "(" and re.match(r"\(\?(?:=|!|<=|<!)", pattern[i:]):
-            raise FilterError(f"look-around is not supported: {pattern!r}")
-        elif c == "(" and pattern.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
-            continue
-        elif c == "$":
+            found = _FLAGS.match(rest)
+            if found and {*found[1], *(found[2] or "")} & {"U", "R"}:
+                raise FilterError(f"flag {found[0]} is not supported: {pattern!r}")
+            holds = lines[-1] if not found or "m" not in found[1] + (found[2] or "") else "m" in found[1]
+            if found and found[3] == ")":
+                lines[-1] = holds
+                out.append(found[0])
+                i += found.end()
+                continue
+            lines.append(holds)
+        elif c == ")":
+            if len(lines) == 1:
+                raise FilterError(f"bad regex {pattern!r}: ) without (")
+            lines.pop()
+        elif c == "$" and not lines[-1]:
             c = r"\z"
         out.append(c)
         i += 1
-    return "(?dU)" + "".join(out)
+        if c == "[" and depth:  # a bracket that comes first stands for itself
+            first = re.match(r"\^?\]?", pattern[i:])[0]
+            out.append(first.replace("]", r"\]"))
+            i += len(first)
+    if depth or len(lines) > 1:
+        raise FilterError(f"bad regex {pattern!r}: a bracket that isn't closed")
+    java = "(?dU)" + "".join(out)
+    _compiled(java, pattern)
+    return java
+
+
+def _compiled(java: str, pattern: str) -> None:
+    """Asks Java itself, if it runs here; else a bad pattern shows when the query runs."""
+    from pyspark import SparkContext
+
+    if (context := SparkContext._active_spark_context) is None:
+        if re.match(r"[*+?]", pattern):
+            raise FilterError(f"bad regex {pattern!r}: nothing to repeat")
+        return
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        context._jvm.java.util.regex.Pattern.compile(java)
+    except Py4JJavaError as e:
+        raise FilterError(f"bad regex {pattern!r}: {e.java_exception.getMessage()}") from e
 
 
-def _leaf(tree: Pred, pairs: Column) -> Column:
+def _leaf(tree: Pred, pairs: Column, raw: Column | None) -> Column:
     mine = lambda p: p["k"] == F.lit(tree.key)
+    if raw is not None and (quick := _in_line(tree, raw, _leaf(tree, pairs, None))) is not None:
+        return quick
     if tree.op == "=":
         return F.exists(pairs, lambda p: mine(p) & (strip_quotes(p["v"]) == F.lit(tree.value)))
     if tree.op == "!=":
@@ -267,14 +326,43 @@ def _leaf(tree: Pred, pairs: Column) -> Column:
     return F.exists(pairs, lambda p: mine(p) & _ordered(strip_quotes(p["v"]), tree.op, tree.value))
 
 
-def to_column(tree, pairs: Column) -> Column:
+_SIMPLE = re.compile(r"[^ \"\\]+")
+
+
+def _in_line(tree: Pred, raw: Column, exact: Column) -> Column | None:
+    """A predicate told from the line; ``exact``, which needs the pairs, is asked where a line has the key twice.
+
+    ``=`` and ``!=`` are one pattern, if the value is one without quotes, spaces and escapes;
+    the others test the first value.
+    """
+    key = key_pattern(tree.key)
+    if key is None:
+        return F.lit(tree.op == "!=")
+    if tree.op in ("=", "!="):
+        if not _SIMPLE.fullmatch(tree.value):
+            return None
+        value = java_literal(tree.value)
+        same = rf'=(?:{value}(?=[ ]|\z)|"{value}")'
+        if tree.op == "=":
+            return raw.rlike(seek(key + same))
+        return raw.rlike(seek(f"{key}(?!{same})")) | ~raw.rlike(seek(key))
+    first = strip_quotes(first_value_of_line(raw, tree.key))
+    test = first.rlike(java_regex(tree.value)) if tree.op == "=~" else _ordered(first, tree.op, tree.value)
+    return F.coalesce(test, F.lit(False)) | (raw.rlike(seek_twice(key)) & exact)
+
+
+def to_column(tree, pairs: Column, raw: Column | None = None) -> Column:
+    """The column of a tree over pairs; with the line itself, what can be told from it needs no pairs."""
     if isinstance(tree, Pred):
-        return _leaf(tree, pairs)
+        return _leaf(tree, pairs, raw)
     if isinstance(tree, HasKey):
+        if raw is not None:
+            key = key_pattern(tree.key)
+            return F.lit(False) if key is None else raw.rlike(seek(key))
         return F.exists(pairs, lambda p: p["k"] == F.lit(tree.key))
     if isinstance(tree, Not):
-        return ~to_column(tree.of, pairs)
-    left, right = to_column(tree.left, pairs), to_column(tree.right, pairs)
+        return ~to_column(tree.of, pairs, raw)
+    left, right = to_column(tree.left, pairs, raw), to_column(tree.right, pairs, raw)
     return left & right if isinstance(tree, And) else left | right
 
 

@@ -39,12 +39,33 @@ class Engine:
 
     def window(self, query: Query) -> tuple[int | None, int | None]:
         """Bounds of the query; anchors come from real files only."""
-        return cut.window_of(query, logs.parsed(logs.with_raw(self.real)))
+        return cut.window_of(query, self.anchors)
+
+    def anchors(self) -> tuple[int | None, int | None]:
+        """The least first and the greatest last time of the files. Of few single files only the ends are read."""
+        real = [f for f in self.files if f != "-"]
+        if len(real) > logs.MANY or any(f.endswith(logs.TABLE) for f in real) or not real:
+            return cut.anchors(logs.parsed(logs.with_raw(self.real)))
+        first, last = [], []
+        for f in real:
+            df = logs.text_file(self.spark, f)
+            if len(df.inputFiles()) > 1:
+                return cut.anchors(logs.parsed(logs.with_raw(self.real)))
+            timed = logs.parsed(logs.with_raw(df)).select("ts_ns").where("ts_ns is not null")
+            if head := timed.head(1):
+                first.append(head[0][0])
+                last.append(timed.tail(1)[0][0])
+        return min(first, default=None), max(last, default=None)
 
     def matched(self, query: Query, bounds: tuple[int | None, int | None] | None = None) -> DataFrame:
         """Matching lines; under a limit, the first of them in input order, before anything is added up."""
         bounds = self.window(query) if bounds is None else bounds
-        df = self.lines().where(cut.matched(query, bounds))
+        df = self.lines()
+        if "ts_ns" in self.read.columns:  # times of an ingested table: plain tests reach its statistics
+            low, high = bounds
+            df = df if low is None else df.where(F.col("ts_ns") >= low)
+            df = df if high is None else df.where(F.col("ts_ns") <= high)
+        df = df.where(cut.matched(query, bounds))
         if (sample := cut.sampled(query)) is not None:
             df = df.where(sample)
         return cut.first_n(df, query.limit) if query.limit is not None else df
@@ -54,7 +75,7 @@ class Engine:
             return agg.grid_of(query, bounds)
         low, high = bounds
         if low is None or high is None:
-            start, end = cut.anchors(logs.parsed(logs.with_raw(self.real)))
+            start, end = self.anchors()
             low, high = start if low is None else low, end if high is None else high
         return agg.grid_of(query, (low, high))
 
@@ -121,11 +142,14 @@ class Engine:
         df = self.selected(query)
         if not query.prints_lines:
             df = df.where(~F.col("matched"))
+        # a carriage return before the line end stays, but for JSON and colour
+        whole = F.concat("raw", "cr") if "cr" in df.columns else F.col("raw")
         if query.passthrough:
-            return df.select(F.col("raw").alias("line"))
+            return df.select(whole.alias("line"))
         pairs = cut.edited(F.col("pairs"), query.remove, query.add)
-        text = out.json_row(pairs) if query.json else out.color_row(pairs) if query.color else out.logfmt_row(pairs)
-        return df.select(F.when(F.col("matched"), text).otherwise(F.col("raw")).alias("line"))
+        plain = F.concat(out.logfmt_row(pairs), F.col("cr")) if "cr" in df.columns else out.logfmt_row(pairs)
+        text = out.json_row(pairs) if query.json else out.color_row(pairs) if query.color else plain
+        return df.select(F.when(F.col("matched"), text).otherwise(whole).alias("line"))
 
     def _set(self, df: DataFrame, column: str, json: bool) -> DataFrame:
         if not json:

@@ -9,17 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.logfmt import line_of, overflow, pairs
 from ..functions.times import time_of
+from . import scratch
 
 ORDER = ["file_idx", "block_start", "row_id"]
 #: Extensions that Spark's text source decodes itself, and those that need a decoder here.
 SPARK_ARCHIVES, OTHER_ARCHIVES = (".zst", ".gz", ".bz2"), (".zstd", ".seekztd")
+#: What the path of a table of lines ends in that ``ingest`` wrote.
+TABLE = ".lines"
 _CHUNK = 4 << 20
+#: Inputs from which all text files are one scan rather than one each; lines of standard input that are spooled at once.
+MANY, SPOOL = 8, 50_000
 
 
 def _numbered(df: DataFrame, file_idx: int, block) -> DataFrame:
@@ -27,13 +33,36 @@ def _numbered(df: DataFrame, file_idx: int, block) -> DataFrame:
 
 
 def text_file(spark: SparkSession, path: str, file_idx: int = 0) -> DataFrame:
-    """Lines of one file, split at LF only; ``.zst`` goes through Hadoop's codec, other zstd names through ``zstandard``."""
+    """Lines of one file, split at LF only; ``.zst`` goes through Hadoop's codec, other zstd names through ``zstandard``.
+
+    A table that ``ingest`` wrote is read as its lines, with their times, which prune.
+    """
     if path.endswith(OTHER_ARCHIVES):
         return archive(spark, path, file_idx)
+    if path.endswith(TABLE):
+        rows = spark.read.parquet(path)
+        return rows.select(F.lit(file_idx).alias("file_idx"), "block_start", "row_id", "value", "ts_ns")
     df = spark.read.option("lineSep", "\n").text(path)
     return _numbered(df.select("value", F.col("_metadata.file_block_start").alias("b")), file_idx, F.col("b"))
 
 
+def text_files(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
+    """Lines of many plain files, each named once, in one scan: a file's number is found by its path."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def whole(path: str) -> str:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(conf).makeQualified(at).toUri().toString()
+
+    numbers = spark.createDataFrame([(whole(p), i) for i, p in files], "of string, file_idx int")  # a row for each file that was named
+    df = spark.read.option("lineSep", "\n").text([p for _, p in files])
+    # a local path is written with one slash there and three here
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    df = df.select("value", F.col("_metadata.file_block_start").cast("bigint").alias("block_start"), path.alias("of"))
+    df = df.withColumn("row_id", F.monotonically_increasing_id()).join(F.broadcast(numbers), "of")
+    return df.select("file_idx", "block_start", "row_id", "value")
+
+
 def archive(spark: SparkSession, path: str, file_idx: int = 0) -> DataFrame:
     """Lines of a zstd file under a name that Spark doesn't know: frames one after the other, skippable ones passed over.
 
@@ -77,33 +106,68 @@ def zstd_lines(data: bytes) -> Iterator[bytes]:
 
 
 def lines(spark: SparkSession, texts: Iterable[str] | DataFrame, file_idx: int = 0) -> DataFrame:
-    """What stands for standard input: an iterable of lines, or a DataFrame with a string column ``value``."""
-    df = texts if isinstance(texts, DataFrame) else spark.createDataFrame([(t,) for t in texts], "value string")
-    return _numbered(df.select("value"), file_idx, F.lit(0))
+    """What stands for standard input: an iterable of lines, or a DataFrame with a string column ``value``.
+
+    An iterable longer than ``SPOOL`` lines is written to the scratch folder part by part, so the
+    driver never holds more.
+    """
+    if isinstance(texts, DataFrame):
+        return _numbered(texts.select("value"), file_idx, F.lit(0))
+    texts = iter(texts)
+    frame = lambda part: spark.createDataFrame([(t,) for t in part], "value string")
+    part = list(islice(texts, SPOOL))
+    if len(part) < SPOOL:
+        return _numbered(frame(part), file_idx, F.lit(0))
+    path, n = scratch.folder(spark, "input"), 0
+    while part:
+        rows = frame(part).withColumn("row_id", F.monotonically_increasing_id())
+        rows.withColumn("block_start", F.lit(n).cast("bigint")).write.mode("append").parquet(path)
+        part, n = list(islice(texts, SPOOL)), n + 1
+    return spark.read.parquet(path).select(F.lit(file_idx).alias("file_idx"), "block_start", "row_id", "value")
 
 
 def read_all(spark: SparkSession, files: list[str], stdin: Iterable[str] | DataFrame | None = None) -> DataFrame:
-    """The union of all inputs in order; ``-`` stands for ``stdin`` in its place."""
-    parts = [lines(spark, stdin if stdin is not None else [], i) if f == "-" else text_file(spark, f, i) for i, f in enumerate(files or ["-"])]
+    """All inputs in order; ``-`` stands for ``stdin`` in its place. Many plain files are one scan, others a branch each."""
+    files = files or ["-"]
+    plain = [(i, f) for i, f in enumerate(files) if f != "-" and not f.endswith((*OTHER_ARCHIVES, TABLE)) and files.count(f) == 1 and not _many_in(spark, f)] if len(files) >= MANY else []
+    numbers = {i for i, _ in plain}
+    rest = [(i, f) for i, f in enumerate(files) if i not in numbers]
+    parts = [lines(spark, stdin if stdin is not None else [], i) if f == "-" else text_file(spark, f, i) for i, f in rest]
+    parts = ([text_files(spark, plain)] if plain else []) + parts
+    if not all("ts_ns" in p.columns for p in parts):  # times are known for all lines or found anew
+        parts = [p.drop("ts_ns") for p in parts]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _many_in(spark: SparkSession, path: str) -> bool:
+    """Whether the path names a folder or several files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not fs.exists(at) or fs.getFileStatus(at).isDirectory()
+
+
 def with_raw(df: DataFrame) -> DataFrame:
-    """Valid lines only, without line ends (``cr``: whether a carriage return stood there)."""
+    """Valid lines only, as ``raw``, without the carriage returns at their ends, which are ``cr``."""
     df = df.where(F.is_valid_utf8("value"))
-    return df.withColumn("raw", line_of(F.col("value"))).drop("value")
+    return df.withColumn("raw", line_of(F.col("value"))).withColumn("cr", F.regexp_extract("value", r"\r+(?=\n*\z)", 0)).drop("value")
 
 
 def parsed(df: DataFrame, times: bool = True) -> DataFrame:
-    """Adds ``pairs``, ``overflow`` and ``ts_ns``; what a query doesn't use, Catalyst prunes."""
+    """Adds ``pairs``, ``overflow`` and ``ts_ns``; what a query doesn't use, Catalyst prunes. Times of a table that was ingested are kept."""
     df = df.withColumn("pairs", pairs(F.col("raw"))).withColumn("overflow", overflow(F.col("raw")))
-    return df.withColumn("ts_ns", time_of(F.col("pairs"))) if times else df
+    if not times or "ts_ns" in df.columns:
+        return df
+    return df.withColumn("ts_ns", time_of(F.col("raw")))
 
 
 def ingest(df: DataFrame, path: str, files: int = 0) -> None:
-    """Writes parsed lines as Parquet in order of time, so that row group statistics prune time slices."""
+    """Writes lines as Parquet in order of time, so that row group statistics prune time slices.
+
+    A ``path`` that ends in ``.lines`` is an input as any other: it keeps the order of its lines.
+    """
     n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, F.col("ts_ns").asc_nulls_first()).sortWithinPartitions("ts_ns", *ORDER).write.parquet(path)
+    rows = df.select(*ORDER, F.concat("raw", "cr").alias("value"), "ts_ns") if "cr" in df.columns else df.select(*ORDER, F.col("raw").alias("value"), "ts_ns")
+    rows.repartitionByRange(n, F.col("ts_ns").asc_nulls_first()).sortWithinPartitions("ts_ns", *ORDER).write.parquet(path)
 
 
 def generated(spark: SparkSession, n: int, start_ns: int = 1_767_225_600_000_000_000, step_ns: int = 1_000_000, seed: int = 42) -> DataFrame:

@@ -9,8 +9,6 @@ that is run again replaces what it wrote.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from ..functions import rows as out
 from ..operators import aggregates as agg
 from ..plans.durations import parse_zone
 from ..plans.query import Query
+from ..sources import scratch
 
 NS = 1_000_000_000
 
@@ -43,8 +42,7 @@ class BucketStream:
         self.spark, self.query = spark, query
         self.grid = agg.grid_of(query, (None, None))
         self.grace = query.window_secs * NS
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.path = path or (f"{shared}/buckets-{id(self)}" if shared else "file://" + tempfile.mkdtemp(prefix="quern-buckets-"))
+        self.path = path or scratch.folder(spark, "buckets")
         self.latest: int | None = None  # greatest time of a matched line
         self.version = 0
         self.state: DataFrame | None = None

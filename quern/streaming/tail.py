@@ -12,10 +12,12 @@ warns and goes on without it. The same holds before the reader has opened the fi
 from __future__ import annotations
 
 import os
-import tempfile
+import queue
+import threading
+import time
 import warnings
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import BinaryIO
 
@@ -26,7 +28,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from ..operators import aggregates as agg
 from ..operators import slicing as cut
 from ..plans.query import Query
-from ..sources import logs
+from ..sources import logs, scratch
 
 #: Bytes that a micro-batch reads at most, unless one line is longer.
 CHUNK = 8 << 20
@@ -180,8 +182,7 @@ class Totals:
 
     def __init__(self, spark: SparkSession, query: Query):
         self.spark, self.query, self.count = spark, query, 0
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.path = f"{shared}/totals-{id(self)}" if shared else "file://" + tempfile.mkdtemp(prefix="quern-totals-")
+        self.path = scratch.folder(spark, "totals")
         self.tables: dict[str, list[DataFrame]] = {}
         self.written = 0
 
@@ -254,6 +255,108 @@ class Context:
         return found
 
 
+def tested(query: Query, window: tuple[int | None, int | None]):
+    """Whether a line is matched, sampling included; never null."""
+    hit = F.coalesce(cut.matched(query, window), F.lit(False))
+    return hit if (sample := cut.sampled(query)) is None else hit & sample
+
+
+class Live:
+    """Answers a query over batches of parsed lines as they come; ``emit`` gets each line of output."""
+
+    def __init__(self, spark: SparkSession, query: Query, emit):
+        from .buckets import BucketStream
+
+        self.spark, self.query, self.emit = spark, query, emit
+        self.buckets = BucketStream(spark, query) if query.bucket is not None else None
+        self.totals = Totals.of(spark, query)
+        self.around = query.lines_before + query.lines_after if query.raw_key is None else 0
+        self.context = Context(query.lines_before, query.lines_after)
+
+    def count(self, matched: DataFrame, batch_id: int | None) -> None:
+        """What is added up."""
+        if self.buckets:
+            self.buckets.add(matched, batch_id)
+            for line in self.buckets.closed():
+                self.emit(line)
+        if self.totals:
+            self.totals.add(matched)
+
+    def add(self, df: DataFrame, batch_id: int) -> None:
+        """A batch of lines with ``matched``."""
+        from ..plans.planner import Engine
+
+        df = df.persist()
+        try:
+            rows = df.where("matched")
+            self.count(rows, batch_id)
+            shown = rows
+            if self.around:
+                found = self.context.add(df.select(F.concat("raw", "cr").alias("value"), "matched").toLocalIterator())
+                if not found:
+                    return
+                shown = logs.parsed(logs.with_raw(self.spark.createDataFrame(found, "value string, matched boolean")))
+            one = Engine(self.spark, [])
+            one.selected, one.matched = (lambda q: shown), (lambda q, b=None: rows)  # type: ignore[method-assign]
+            for part in one.printed(self.query):
+                for row in part.toLocalIterator():
+                    self.emit(row["line"])
+        finally:
+            df.unpersist()
+
+    def finish(self) -> None:
+        """What is still open, and summaries over all that was read."""
+        for line in self.buckets.finish() if self.buckets else []:
+            self.emit(line)
+        for line in self.totals.finish() if self.totals else []:
+            self.emit(line)
+
+
+def can_listen(query: Query) -> bool:
+    """Whether a query can be answered batch by batch: nothing in it waits for the last line but sums, keys and values."""
+    waits = query.sort_by is not None or query.limit is not None or query.n_buckets is not None or query.time_range
+    return not waits and not (query.count and query.bucket is None and query.group_by)
+
+
+def listen(spark: SparkSession, lines: Iterable[str], query: Query, emit, most: int = 50_000, wait: float = 0.5) -> None:
+    """Answers a query over lines while they come, as from a pipe: buckets are printed as they close, matches at once.
+
+    Lines are taken in batches of up to ``most``, or of what came within ``wait`` seconds, by a
+    thread that holds no more than two batches. At the end come open buckets and summaries.
+    """
+    from ..plans.planner import Engine
+
+    waiting: queue.Queue = queue.Queue(maxsize=most)
+
+    def take() -> None:
+        try:
+            for line in lines:
+                waiting.put(line)
+        finally:
+            waiting.put(None)
+
+    threading.Thread(target=take, daemon=True).start()
+    live, hit = Live(spark, query, emit), tested(query, Engine(spark, []).window(query))
+    batch_id, over = 0, False
+    while not over:
+        part, until = [], time.monotonic() + wait
+        while len(part) < most and not over:
+            try:
+                line = waiting.get(timeout=max(0.0, until - time.monotonic()) if part else None)
+            except queue.Empty:
+                break
+            if line is None:
+                over = True
+            else:
+                if not part:
+                    until = time.monotonic() + wait
+                part.append(line)
+        if part:
+            live.add(logs.parsed(logs.with_raw(logs.lines(spark, part))).withColumn("matched", hit), batch_id)
+            batch_id += 1
+    live.finish()
+
+
 def follow(spark: SparkSession, files: list[str], query: Query, emit, until=None, poll: str = "200 milliseconds", apply_bounds: bool = True) -> None:
     """Answers a query over the files as they are, then over what comes into the last one.
 
@@ -264,65 +367,24 @@ def follow(spark: SparkSession, files: list[str], query: Query, emit, until=None
     later; with ``apply_bounds=False`` they hold for the first reading only.
     """
     from ..plans.planner import Engine
-    from .buckets import BucketStream
 
     last, engine = files[-1], Engine(spark, files)
     from_start = len(files) > 1 or query.time_from is not None
     bounds = engine.window(query)
-    buckets = BucketStream(spark, query) if query.bucket is not None else None
-    totals = Totals.of(spark, query)
-    around = query.lines_before + query.lines_after if query.raw_key is None else 0
-    context = Context(query.lines_before, query.lines_after)
+    live = Live(spark, query, emit)
     position = len(_whole(last))
-
-    def tested(*window: int | None):
-        hit = F.coalesce(cut.matched(query, window), F.lit(False))
-        return hit if (sample := cut.sampled(query)) is None else hit & sample
-
     if from_start:
-        if buckets:
-            buckets.add(engine.matched(query, bounds), None)
-            for row in buckets.closed():
-                emit(row)
-        if totals:
-            totals.add(engine.matched(query, bounds))
+        live.count(engine.matched(query, bounds), None)
         for part in engine.printed(query):
             for row in part.toLocalIterator():
                 emit(row["line"])
-        if around:  # the first batch goes on behind the last lines of the first reading
-            ends = engine.lines().where(F.col("file_idx") == len(files) - 1).withColumn("matched", tested(*bounds))
-            ends = ends.orderBy(*(F.desc(c) for c in logs.ORDER)).limit(around).select("raw", "matched").collect()
-            context.add(reversed(ends))
-    hit = tested(*(bounds if apply_bounds else (None, None)))
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        df = df.withColumn("matched", hit).persist()
-        try:
-            add(df, df.where("matched"), batch_id)
-        finally:
-            df.unpersist()
-
-    def add(df: DataFrame, rows: DataFrame, batch_id: int) -> None:
-        if buckets:
-            buckets.add(rows, batch_id)
-            for line in buckets.closed():
-                emit(line)
-        if totals:
-            totals.add(rows)
-        shown = rows
-        if around:
-            found = context.add(df.select("raw", "matched").toLocalIterator())
-            if not found:
-                return
-            shown = logs.parsed(spark.createDataFrame(found, "raw string, matched boolean"))
-        one = Engine(spark, [])
-        one.selected, one.matched = (lambda q: shown), (lambda q, b=None: rows)  # type: ignore[method-assign]
-        for part in one.printed(query):
-            for row in part.toLocalIterator():
-                emit(row["line"])
-
+        if live.around:  # the first batch goes on behind the last lines of the first reading
+            ends = engine.lines().where(F.col("file_idx") == len(files) - 1).withColumn("matched", tested(query, bounds))
+            ends = ends.orderBy(*(F.desc(c) for c in logs.ORDER)).limit(live.around).select(F.concat("raw", "cr").alias("value"), "matched").collect()
+            live.context.add(reversed(ends))
+    hit = tested(query, bounds if apply_bounds else (None, None))
     stream = parsed_stream(tail(spark, last, query.reopen, str(position)))
-    running = stream.writeStream.foreachBatch(batch).trigger(processingTime=poll).start()
+    running = stream.writeStream.foreachBatch(lambda df, batch_id: live.add(df.withColumn("matched", hit), batch_id)).trigger(processingTime=poll).start()
     try:
         while running.isActive and not (until and until()):
             running.awaitTermination(0.2)
@@ -330,10 +392,7 @@ def follow(spark: SparkSession, files: list[str], query: Query, emit, until=None
         pass
     finally:
         running.stop()
-        for line in buckets.finish() if buckets else []:
-            emit(line)
-        for line in totals.finish() if totals else []:
-            emit(line)
+        live.finish()
 
 
 def _whole(path: str) -> range:

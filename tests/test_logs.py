@@ -295,3 +295,33 @@ def test_ingest_keeps_lines(spark, standard_file, tmp_path):
     logs.ingest(df, str(tmp_path / "table"), 2)
     back = spark.read.parquet(str(tmp_path / "table"))
     assert back.where("ts_ns >= 0").count() == 200
+
+
+def test_what_is_found_in_the_line_is_what_the_pairs_hold(spark):
+    """Filters, first values and times by one pattern over the line, against the same over its pairs."""
+    import random
+
+    from quern.functions.times import parse_ns
+    from quern.plans.filters import parse, to_column
+
+    r = random.Random(11)
+    part = lambda: r.choice(["a", "b", "time", "ts", "a.b", "ab", "=", "==", " ", "  ", '"', '\\"', "\\", "x", "=x", '="x"', '="x y"', '="a=x"', '"x"', "é", "\t", "2026-01-02T03:04:05Z", '="2026-01-02T03:04:05.25Z"'])
+    texts = ["".join(part() for _ in range(r.randrange(0, 14))) for _ in range(4000)]
+    texts += [" ".join(f"k{i}=1" for i in range(n)) + " a=x time=2026-01-02T03:04:05Z" for n in (254, 255, 256, 257)] + ["=q " * 300 + "a=x ts=2026-01-02T03:04:05Z"]
+    df = logs.parsed(spark.createDataFrame([(t,) for t in texts], "raw string"))
+    raw, pairs = F.col("raw"), F.col("pairs")
+    for key in ("a", "a.b", "é", "time", "", "a b", "a=x"):
+        assert df.where(~logfmt.first_value_of_line(raw, key).eqNullSafe(logfmt.first_value(pairs, key))).count() == 0, key
+    for text in ("a=x", "a!=x", "exists a", "not exists a.b", "a=é or é!=x", "a='=x'", "'a=x'=x", "'a b'!=x", "exists 'a=x'", 'a=""', "a='x y'", "a!='x y'", "a=~^x", "a=~y$", "a>x", "a<=x", "'a b'=~x", "time<2026-01-02T03:04:05Z"):
+        assert df.where(to_column(parse(text), pairs, raw) != to_column(parse(text), pairs)).count() == 0, text
+    first = F.get(F.filter(pairs, lambda p: p["k"].isin("time", "ts")), F.lit(0))["v"]
+    assert df.where(~F.col("ts_ns").eqNullSafe(parse_ns(logfmt.strip_quotes(first)))).count() == 0
+    assert df.where("ts_ns is not null").count() > 10
+
+
+def test_usual_times_are_read_as_any_others(spark):
+    from quern.functions.times import _any_form, parse_ns
+
+    texts = [f"{day}T{clock}{frac}{zone}" for day in ("2026-02-28", "2025-02-29", "1677-09-21", "1600-01-01", "0000-01-01", "2262-04-12", "9999-12-31") for clock in ("00:00:00", "23:59:60", "24:00:00", "00:12:43") for frac in ("", ".", ".1", ".123456", ".145224193", ".000000001") for zone in ("Z", "z", "", "+01:00")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~parse_ns(F.col("t")).eqNullSafe(_any_form(F.col("t")))).count() == 0
