@@ -89,6 +89,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = session(args.master)
     spark.sparkContext.setLogLevel("ERROR")
+    if query.parallel > 1:
+        spark.conf.set("spark.sql.files.minPartitionNum", query.parallel)
     stdin = (line.removesuffix("\n") for line in sys.stdin) if not args.files or "-" in args.files else None
     to = open(args.output, "w", encoding="utf-8", newline="") if args.output else sys.stdout  # noqa: SIM115
     try:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.logfmt import first_value_of_line, unescape
-from ..functions.times import floor_to
+from ..functions.times import floor_to, parse_ns
 from ..plans.durations import parse_duration
 from ..plans.query import Query, QueryError
 
@@ -141,6 +141,20 @@ def raw_totals(df: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(F.col("span_ns") > 0, F.col("lines") / (F.col("span_ns") / 1e9)))
 
 
+def classified(df: DataFrame) -> DataFrame:
+    """Parsed lines as a dashboard reads them: counted rows, whose first key is a whole ``count``, and others, whose count is null.
+
+    ``combo``: the ``key.`` pairs of a counted row as (key, value), sorted; and its times in nanoseconds.
+    """
+    first = F.get(F.col("pairs"), F.lit(0))
+    number = F.trim(unescape(first["v"]))
+    counted = F.coalesce((first["k"] == "count") & number.rlike(r"\A[+-]?\d+\z"), F.lit(False))
+    rest = F.slice("pairs", F.lit(2), F.size("pairs"))
+    keys = F.transform(F.filter(rest, lambda p: p["k"].startswith("key.")), lambda p: F.struct(F.substring(p["k"], 5, 2**31 - 1).alias("key"), unescape(p["v"]).alias("value")))
+    times = [F.when(counted, parse_ns(unescape(first_value_of_line(F.col("raw"), name)))).alias(column) for name, column in (("bucket.start", "bucket_start_ns"), ("time.start", "time_start_ns"), ("time.end", "time_end_ns"))]
+    return df.select("raw", F.when(counted, number.try_cast("bigint")).alias("count"), F.when(counted, F.array_sort(keys)).alias("combo"), *times)
+
+
 def position(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``pos``, the number of a row in an order, for results whose order matters to a reader without one."""
     return rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -304,12 +304,13 @@ def _compiled(java: str, pattern: str) -> None:
         if re.match(r"[*+?]", pattern):
             raise FilterError(f"bad regex {pattern!r}: nothing to repeat")
         return
-    from py4j.protocol import Py4JJavaError
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
 
     try:
         context._jvm.java.util.regex.Pattern.compile(java)
-    except Py4JJavaError as e:
-        raise FilterError(f"bad regex {pattern!r}: {e.java_exception.getMessage()}") from e
+    except (Py4JError, PySparkException) as e:
+        raise FilterError(f"bad regex {pattern!r}: {e}") from e
 
 
 def _leaf(tree: Pred, pairs: Column, raw: Column | None) -> Column:

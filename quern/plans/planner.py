@@ -91,6 +91,8 @@ class Engine:
         df = self.matched(query)
         if query.sort_by is not None:
             df = cut.sorted_by(df, query.sort_by)
+        elif not logs.in_order(self.files):
+            df = df.orderBy(*logs.ORDER)
         return df.select(cut.value_of(query.raw_key).alias("value")).where("value is not null")
 
     def selected(self, query: Query) -> DataFrame:
@@ -103,7 +105,9 @@ class Engine:
             df = cut.with_context(self.lines(), hit, query.lines_before, query.lines_after, query.limit)
             return df if query.sort_by is None else df.orderBy(F.col("matched").asc(), F.when(F.col("matched"), F.coalesce(cut.value_of(query.sort_by), F.lit(""))), *logs.ORDER)
         df = self.matched(query).withColumn("matched", F.lit(True))
-        return df if query.sort_by is None else cut.sorted_by(df, query.sort_by)
+        if query.sort_by is not None:
+            return cut.sorted_by(df, query.sort_by)
+        return df if logs.in_order(self.files) else df.orderBy(*logs.ORDER)
 
     def statistics(self, query: Query) -> dict[str, int]:
         """Counts over everything read."""

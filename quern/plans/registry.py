@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rows as text
-from ..functions.logfmt import first_value_of_line
+from ..functions.logfmt import first_value_of_line, logfmt_line
 from ..functions.logfmt import unescape as decoded
+from ..functions.terminal import bar, sparkline
 from ..functions.times import format_ns
 from ..operators import aggregates as agg
 from ..operators import slicing as cut
-from ..sources import logs
+from ..sources import logs, scratch
 from ..streaming.buckets import BucketStream
 from . import views
 from .durations import format_duration
@@ -54,6 +55,21 @@ def _run(df: DataFrame, q: Query) -> DataFrame:
     return cut.first_n(out, q.limit) if q.limit is not None else out
 
 
+def _file(spark: SparkSession, lines: DataFrame) -> str:
+    """A text file of the lines, for queries that read one as the command line does."""
+    path = scratch.folder(spark, "lines")
+    lines.select("value").write.text(path, lineSep="\n")
+    return path
+
+
+def _output(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """What the command line prints, of queries that print one thing."""
+    from .planner import Engine
+
+    (part,) = Engine(spark, paths).output(Query(**options))
+    return part
+
+
 def _ids(df: DataFrame) -> DataFrame:
     return df.select(F.col("row_id").alias("event_id"))
 
@@ -141,9 +157,9 @@ def filter_level_ge(spark, d):
     return _filter(spark, d, "level>=WARNING")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE regexp_matches(p_type, 'STEEL|BRASS') AND NOT regexp_matches(p_name, '^[a-m]')")
+@query("SELECT p_partkey AS id FROM part WHERE regexp_matches(p_type, 'ECO|^[P-S]') AND NOT regexp_matches(p_name, '^[[:alpha:]]+ [a-m]') AND regexp_matches(p_brand, '[[:digit:]]$')")
 def filter_regex(spark, d):
-    df = _run(_parsed(views.parts(spark, d)), Query(where=("type=~'STEEL|BRASS'", "not name=~^[a-m]")))
+    df = _run(_parsed(views.parts(spark, d)), Query(where=("type=~'ECO|^[P-S]'", "not name=~'^[[:alpha:]]+ [a-m]'", "brand=~'[[:digit:]]$'")))
     return df.select(F.col("row_id").alias("id"))
 
 
@@ -467,3 +483,97 @@ def orders_log_priority(spark, d):
     raw = logs.with_raw(views.orders(spark, d))
     key = lambda k: decoded(first_value_of_line(F.col("raw"), k)).alias(k)
     return raw.select(key("priority"), key("status")).groupBy("priority", "status").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ---------------------------------------------------------------- text files in, printed lines out
+
+
+@query("SELECT CAST(count(*) AS VARCHAR) AS line FROM events WHERE event_type = 'purchase'")
+def output_count(spark, d):
+    return _output(spark, [_file(spark, views.events(spark, d))], where=("kind=purchase",), count=True)
+
+
+@query("SELECT unnest(['bonus', 'kind', 'level', 'props', 'time', 'user', 'value']) AS line")
+def output_keys(spark, d):
+    return _output(spark, [_file(spark, views.events(spark, d))], list_keys=True)
+
+
+@query("SELECT '[' || string_agg('\"' || event_type || '\"', ',' ORDER BY event_type) || ']' AS line FROM (SELECT DISTINCT event_type FROM events)")
+def output_values_json(spark, d):
+    return _output(spark, [_file(spark, views.events(spark, d))], list_values=("kind",), json=True)
+
+
+@query("SELECT 'id=' || c_custkey || '  segment=' || c_mktsegment || CASE WHEN c_custkey % 2 = 1 THEN chr(13) ELSE '' END AS line FROM customer")
+def output_verbatim(spark, d):
+    """Lines as they are, spaces and carriage returns too."""
+    df = spark.read.parquet(f"{d}/customer.parquet")
+    line = F.concat(F.lit("id="), F.col("c_custkey"), F.lit("  segment="), F.col("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 1, "\r").otherwise(""))
+    return _output(spark, [_file(spark, df.select(line.alias("value")))])
+
+
+@query("SELECT '{\"id\":\"' || n_nationkey || '\",\"name\":\"the ' || n_name || '\"}' AS line FROM nation WHERE n_nationkey >= 5")
+def output_json(spark, d):
+    df = spark.read.parquet(f"{d}/nation.parquet")
+    lines = df.select(logfmt_line(id=F.col("n_nationkey"), name=F.concat(F.lit("the "), F.col("n_name"))).alias("value"))
+    return _output(spark, [_file(spark, lines)], where=("id>=5",), json=True)
+
+
+@query("SELECT 'id=' || c_custkey || ' segment=' || c_mktsegment || ' seen=1' AS line FROM customer WHERE c_nationkey <> 3")
+def output_many_files(spark, d):
+    """Nine files, one scan."""
+    df = spark.read.parquet(f"{d}/customer.parquet")
+    lines = df.select("c_custkey", logfmt_line(id=F.col("c_custkey"), nation=F.col("c_nationkey"), segment=F.col("c_mktsegment")).alias("value"))
+    folders = [_file(spark, lines.where(F.col("c_custkey") % 9 == k).coalesce(1)) for k in range(9)]
+    files = [f for x in folders for f in spark.read.text(x).inputFiles()]
+    return _output(spark, files, where=("nation!=3",), remove=("nation",), add=(("seen", "1"),))
+
+
+@query("SELECT 'count=' || count(*) AS head, strftime(time_bucket(INTERVAL 12 HOUR, ts), 'bucket.start=%Y-%m-%dT%H:%M:%SZ') AS bucket FROM events WHERE event_type <> 'view' GROUP BY time_bucket(INTERVAL 12 HOUR, ts)")
+def stdin_buckets(spark, d):
+    """Standard input, answered batch by batch while it comes in order of time."""
+    from ..streaming.tail import listen
+
+    found: list[str] = []
+    lines = (r["value"] for r in views.events(spark, d).orderBy(F.col("value")).select("value").toLocalIterator())
+    listen(spark, lines, Query(where=("kind!=view",), count=True, bucket="12h"), found.append, most=4_000)
+    return spark.createDataFrame([tuple(x.split(" ")[:2]) for x in found], "head string, bucket string")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 06:00:00'")
+def time_slice_table(spark, d):
+    """A time slice of an ingested table, whose row groups are pruned."""
+    from .planner import Engine
+
+    df = spark.read.parquet(f"{d}/events.parquet").select(logfmt_line(time=views.stamp(F.col("ts")), id=F.col("event_id")).alias("value"))
+    path = scratch.folder(spark, "table") + logs.TABLE
+    logs.ingest(Engine(spark, [_file(spark, df)]).lines(), path)
+    rows = Engine(spark, [path]).matched(Query(time_from="2024-01-10T00:00:00Z", time_to="2024-01-12T06:00:00Z"))
+    return rows.select(cut.value_of("id").cast("bigint").alias("event_id"))
+
+
+# ---------------------------------------------------------------- dashboard text
+
+
+@query("SELECT event_type AS kind, count(*) AS count, min(epoch_ns(ts)) AS time_start_ns FROM events GROUP BY 1 UNION ALL SELECT NULL, NULL, NULL FROM region")
+def classify_lines(spark, d):
+    """Counted rows as they are printed, read back, among lines that are none."""
+    counts = _output(spark, [_file(spark, views.events(spark, d))], count=True, group_by=("kind",)).select(F.col("line").alias("value"))
+    others = spark.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("id="), F.col("r_regionkey"), F.lit(" count=1")).alias("value"))
+    rows = agg.classified(_parsed(logs.lines(spark, counts.unionByName(others))))
+    return rows.select(F.get("combo", F.lit(0))["value"].alias("kind"), "count", "time_start_ns")
+
+
+_DAYS = "(SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2)"
+
+
+@query(f"SELECT event_type AS kind, string_agg(substr(' ▁▂▃▄▅▆▇█', CAST(round_even(n * 1.0::DOUBLE / top * 8, 0) AS INTEGER) + 1, 1), '' ORDER BY day) AS line FROM (SELECT *, max(n) OVER (PARTITION BY event_type) AS top FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS k FROM {_DAYS}) WHERE k <= 20) GROUP BY 1")
+def sparklines(spark, d):
+    rows = agg.series(agg.counted(_events(spark, d), ("kind",), agg.Grid(86_400_000_000_000)), ("kind",))
+    return rows.select(F.col("`key.kind`").alias("kind"), sparkline(F.transform("points", lambda p: p["count"]), 20).alias("line"))
+
+
+@query("SELECT kind, repeat('█', CAST(floor(x) AS INTEGER)) || CASE WHEN floor(x) < 30 THEN substr(' ▏▎▍▌▋▊▉█', CAST(round_even((x - floor(x)) * 8, 0) AS INTEGER) + 1, 1) ELSE '' END AS line FROM (SELECT event_type AS kind, count(*) * 1.0::DOUBLE / max(count(*)) OVER () * 30 AS x FROM events GROUP BY 1)")
+def bars(spark, d):
+    rows = agg.counted(_events(spark, d), ("kind",))
+    top = rows.agg(F.max("count").alias("top"))  # one row
+    return rows.join(F.broadcast(top)).select(F.col("`key.kind`").alias("kind"), bar(F.col("count"), F.col("top"), 30).alias("line"))

@@ -7,6 +7,7 @@ of the lines; it is attached only where an operator asks for order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import islice
@@ -52,11 +53,11 @@ def text_files(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
 
     def whole(path: str) -> str:
         at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(conf).makeQualified(at).toUri().toString()
+        return re.sub("^file:/+", "file:/", at.getFileSystem(conf).makeQualified(at).toUri().toString())
 
     numbers = spark.createDataFrame([(whole(p), i) for i, p in files], "of string, file_idx int")  # a row for each file that was named
     df = spark.read.option("lineSep", "\n").text([p for _, p in files])
-    # a local path is written with one slash there and three here
+    # local paths are written with one slash or three
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
     df = df.select("value", F.col("_metadata.file_block_start").cast("bigint").alias("block_start"), path.alias("of"))
     df = df.withColumn("row_id", F.monotonically_increasing_id()).join(F.broadcast(numbers), "of")
@@ -123,7 +124,7 @@ def lines(spark: SparkSession, texts: Iterable[str] | DataFrame, file_idx: int =
         rows = frame(part).withColumn("row_id", F.monotonically_increasing_id())
         rows.withColumn("block_start", F.lit(n).cast("bigint")).write.mode("append").parquet(path)
         part, n = list(islice(texts, SPOOL)), n + 1
-    return spark.read.parquet(path).select(F.lit(file_idx).alias("file_idx"), "block_start", "row_id", "value")
+    return spark.read.parquet(path).orderBy("block_start", "row_id").select(F.lit(file_idx).alias("file_idx"), "block_start", "row_id", "value")
 
 
 def read_all(spark: SparkSession, files: list[str], stdin: Iterable[str] | DataFrame | None = None) -> DataFrame:
@@ -139,6 +140,11 @@ def read_all(spark: SparkSession, files: list[str], stdin: Iterable[str] | DataF
     return reduce(DataFrame.unionByName, parts)
 
 
+def in_order(files: list[str]) -> bool:
+    """Whether a scan gives the lines in their order; a table, or many files in one scan, has them in another."""
+    return len(files) < MANY and not any(f.endswith(TABLE) for f in files)
+
+
 def _many_in(spark: SparkSession, path: str) -> bool:
     """Whether the path names a folder or several files."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -325,3 +325,92 @@ def test_usual_times_are_read_as_any_others(spark):
     texts = [f"{day}T{clock}{frac}{zone}" for day in ("2026-02-28", "2025-02-29", "1677-09-21", "1600-01-01", "0000-01-01", "2262-04-12", "9999-12-31") for clock in ("00:00:00", "23:59:60", "24:00:00", "00:12:43") for frac in ("", ".", ".1", ".123456", ".145224193", ".000000001") for zone in ("Z", "z", "", "+01:00")]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.where(~parse_ns(F.col("t")).eqNullSafe(_any_form(F.col("t")))).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text", "want"),
+    [
+        ("^[[:digit:]]+$", "123", True), ("^[[:digit:]]+$", "d:", False), ("[[:^alpha:]x]", "abc", False), ("[[:^alpha:]x]", "abx", True), ("[[:punct:]]", "a-b", True),
+        ("(?m)a$", "a\nb", True), ("a$", "a\nb", False), ("(?m:a$)|z$", "z\nb", False), ("(?i)A\\x{42}c", "abC", True), ("\\u{e9}", "é", True), ("\\p{Greek}", "ω", True), ("\\p{^Greek}", "ω", False), ("[]a]+b", "]ab", True), ("[^]]", "]", False),
+    ],
+)
+def test_regex_dialect(spark, pattern, text, want):
+    from quern.plans.filters import java_regex
+
+    assert spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(java_regex(pattern)).alias("hit")).first().hit is want
+
+
+@pytest.mark.parametrize("pattern", ["(", ")", "[a", "a{2", "*a", "[[:nope:]]", "(?U)a", "(?>a)", "a\\"])
+def test_bad_regexes(spark, pattern):
+    from quern.plans.filters import FilterError, java_regex
+
+    with pytest.raises(FilterError):
+        java_regex(pattern)
+
+
+def test_carriage_returns_stay(spark, tmp_path):
+    (tmp_path / "x.log").write_bytes(b"a=1\r\nb=2\na=3\r\r\nb=4\r")
+    engine = Engine(spark, [str(tmp_path / "x.log")])
+    assert output(engine) == ["a=1\r", "b=2", "a=3\r\r", "b=4\r"]
+    assert output(engine, where=("exists a",)) == ["a=1\r", "a=3\r\r"]
+    assert output(engine, add=(("c", "x"),), limit=1) == ["a=1 c=x\r"]
+    assert output(engine, where=("a=1",), json=True) == ['{"a":"1"}']
+    assert output(engine, where=("a=1",), after=1) == ["a=1\r", "b=2"]
+
+
+def test_colours(spark):
+    engine = Engine(spark, stdin=['time=1 level="WARN" m="x y" n=', "level=Error level=info"])
+    b, r, q = "\x1b[1m", "\x1b[0m", '\x1b[1;34m"\x1b[0m'
+    assert output(engine, color=True) == [
+        f"{b}time{r}=\x1b[34m1{r} {b}level{r}={q}{b}\x1b[33mWARN{r}{q} {b}m{r}={q}x y{q} {b}n{r}=",
+        f"{b}level{r}={b}Error{r} {b}level{r}={b}info{r}",
+    ]
+
+
+def test_many_files_are_one_scan(spark, standard, standard_file, tmp_path):
+    paths = []
+    for k in range(10):
+        paths.append(str(tmp_path / f"part {k}.log"))
+        (tmp_path / f"part {k}.log").write_text("\n".join(standard[k * 20 : (k + 1) * 20]) + "\n")
+    many, one = Engine(spark, paths), Engine(spark, [standard_file])
+    assert many.read._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    for options in ({}, {"where": ("level=error",), "limit": 30}, {"time_from": "start+8s", "time_to": "end-8s", "count": True}, {"count": True, "n_buckets": 3}):
+        assert output(many, **options) == output(one, **options)
+    mixed = Engine(spark, [*paths[:4], "-", *paths[5:]], stdin=standard[80:100])
+    assert output(mixed) == output(one)
+    assert output(Engine(spark, [paths[0], *paths]), count=True) == ["220"]
+
+
+def test_ingested_table_is_an_input(spark, standard_file, tmp_path):
+    path = str(tmp_path / "table.lines")
+    one = Engine(spark, [standard_file])
+    logs.ingest(one.lines(), path, 3)
+    table = Engine(spark, [path])
+    for options in ({}, {"where": ("level=error",)}, {"time_from": "start+8s", "time_to": "end-8s"}, {"count": True, "bucket": "5s"}):
+        assert output(table, **options) == output(one, **options)
+    plan = table.matched(Query(time_from="2026-04-24T18:00:05Z"))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts_ns," in plan
+    assert output(Engine(spark, [path, standard_file]), count=True) == ["400"]
+
+
+def test_long_standard_input_is_spooled(spark, standard, monkeypatch):
+    monkeypatch.setattr(logs, "SPOOL", 30)
+    assert output(Engine(spark, stdin=iter(standard))) == standard
+
+
+def test_dashboard_text(spark):
+    from quern.functions.terminal import GROWING, RISING, bar, sparkline
+
+    def cells(values, width):
+        values = values[-width:] if width > 0 else []
+        return "".join(RISING[min(8, round(v / (max(values) or 1) * 8))] for v in values)
+
+    for values in ([], [0, 0], [1, 2, 3, 16, 5], list(range(40))):
+        for width in (0, 1, 3, 50):
+            df = spark.createDataFrame([(values,)], "v array<long>")
+            assert df.select(sparkline(F.col("v"), width).alias("x")).first().x == cells(values, width)
+    for value, top, width, want in ((0, 10, 4, " "), (10, 10, 4, "████"), (5, 8, 3, "█▉"), (1, 0, 3, ""), (1, 2, 0, "")):
+        assert spark.createDataFrame([(value, top)], "v long, t long").select(bar(F.col("v"), F.col("t"), width).alias("x")).first().x == want, (value, top, GROWING)
+    rows = agg.classified(frame(spark, ["count=12 key.b=x key.a='y time.start=2026-01-01T00:00:00Z", "count=x", "a=1 count=2", ""])).collect()
+    assert [r["count"] for r in rows] == [12, None, None, None]
+    assert [(p.key, p.value) for p in rows[0].combo] == [("a", "'y"), ("b", "x")] and rows[0].time_start_ns == 1767225600 * 10**9

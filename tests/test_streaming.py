@@ -166,3 +166,32 @@ def test_watermarked_counts(spark, tmp_path):
     got = {(r.bucket_start_ns, r["count"]) for r in spark.sql("select * from closed").collect()}
     assert got == {(0, 2), (10_000_000_000, 1)}
     assert spark.sql("select * from closed").where(F.col("bucket_end_ns") - F.col("bucket_start_ns") != 10_000_000_000).isEmpty()
+
+
+def test_standard_input_is_answered_while_it_comes(spark):
+    """A bucket is printed as soon as a later line closes it, before the input ends."""
+    import threading
+
+    from quern.plans.query import Query
+    from quern.streaming.tail import listen
+
+    out, closed, seen = [], threading.Event(), []
+
+    def emit(line):
+        out.append(line)
+        closed.set()
+
+    def lines():
+        yield from (f"time=2026-01-01T00:00:{s:02d}Z level=info" for s in range(5))
+        yield "time=2026-01-01T00:01:00Z level=info"
+        seen.append(closed.wait(60))
+        yield "time=2026-01-01T00:01:01Z level=info"
+
+    listen(spark, lines(), Query(count=True, bucket="10s", window_secs=1), emit)
+    assert seen == [True] and [x.split()[0] for x in out] == ["count=5", "count=2"]
+    out.clear()
+    listen(spark, iter(["a=1\r", "b=2", "a=3"]), Query(where=("exists a",)), out.append)
+    assert out == ["a=1\r", "a=3"]
+    out.clear()
+    listen(spark, iter([f"n={i}" for i in range(7)]), Query(where=("n>=3",), count=True), out.append, most=2)
+    assert out == ["4"]
