@@ -11,8 +11,9 @@ wanted is skipped by its length without inflating its payload.
 
 Edge cases: a null html is an empty payload; a null url has no WARC-Target-URI; a null
 page id has no page header and reads back as null (and is never the response of a group
-that has an id); repeated rows with the least id are all responses; an empty table gives
-no archive and an empty result; other columns are ignored.
+that has an id; where all ids of a group are null, all are responses); repeated rows with
+the least id are all responses; a payload of any length is one record; an empty table gives
+no archive and an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import new_dir
 
 #: Payloads under so many bytes are stored again rather than referred to.
 LEAST = 100
+#: Parts into which the pages of a repeated digest are dealt.
+SALTS = 16
 
 SCHEMA = (
     "record_type string, record_id string, date string, target_uri string, payload_digest string, refers_to string, "
@@ -315,15 +318,22 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, digest, kind and refers_to of every page."""
+    """page_id, url, html, digest, kind and refers_to of every page.
+
+    Which pages are revisits is found from ids and digests alone. Repeated digests are dealt
+    to ``SALTS`` tasks each, so a page that a third of the rows repeat is no hot key; payloads
+    are dealt by page, not by digest.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"))
-    groups = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1").select("digest", "first")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(groups, "digest", "left").select(
-        "page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to")
-    )
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt")
+    keys = pages.select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"), salt).where(F.col("bytes") >= least)
+    groups = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    groups = groups.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    again = keys.join(groups, ["digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first").distinct()
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    return rows.select("page_id", "url", "html", "digest", F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("kind"), F.col("first").alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
@@ -358,16 +368,15 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame, path: str | None = No
     """Writes every page to archives, reads them back and describes each record."""
     path = path or new_dir(spark, "warc")
     done = write_warc(pages, path).agg(F.sum("records")).first()[0] or 0
-    back = read_warc(spark, path)
-    page = F.col("headers")["X-Page-ID"].cast(pages.schema["page_id"].dataType)
-    is_revisit = F.col("record_type") == "revisit"
-    out = back.select(
-        page.alias("page_id"),
-        F.when(is_revisit, F.col("headers")["X-Payload-Length"].cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
-        F.when(is_revisit, F.col("payload_digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
-        "record_type",
-        F.when(is_revisit, F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).cast(pages.schema["page_id"].dataType)).alias("refers_to"),
-    )
+    kind = pages.schema["page_id"].dataType
+    page = F.col("headers")["X-Page-ID"].cast(kind).alias("page_id")
+    # both predicates are pushed into the source: revisits by their headers, and payloads of responses only
+    full = read_warc(spark, path).where("record_type = 'response'")
+    full = full.select(page, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
+    refs = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    origin = F.regexp_extract("refers_to", r"<urn:page:(-?\d+)>", 1).cast(kind).alias("refers_to")
+    refs = refs.select(page, F.col("headers")["X-Payload-Length"].cast("long").alias("payload_bytes"), "payload_digest", "record_type", origin)
+    out = full.unionByName(refs)
     return out if done else out.limit(0)
 
 

@@ -179,6 +179,23 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(spark, pages.limit(0)).collect() == []
 
 
+def test_warc_of_null_and_repeated_pages(spark):
+    big, other = "x" * 150, "y" * 150
+    rows = [(None, big, 1), (2, big, 1), (2, big, 1), (5, big, 1), (None, other, 1), (None, other, 1), (7, None, 1), (7, None, 1)]
+    pages = spark.createDataFrame([(i, None, h, k) for i, h, k in rows], "page_id long, url string, html string, digest long")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.warc_round_trip(spark, pages).collect())
+    assert got == [(0, "response", 0, 150), (0, "response", 0, 150), (0, "revisit", 2, 150), (2, "response", 0, 150), (2, "response", 0, 150), (5, "revisit", 2, 150), (7, "response", 0, 0), (7, "response", 0, 0)]
+
+
+def test_warc_query_pushes_down(spark, small):
+    """The query's two scans: responses with payloads, revisits by headers, with both predicates in the source."""
+    from quern.llm.queries import op2_warc
+
+    plan = op2_warc(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2
+    assert "= response" not in plan and "= revisit" not in plan  # Spark doesn't test them again
+
+
 def test_warc_pushdown_and_payloads(spark):
     path = common.new_dir(spark, "warc")
     warc.write_warc(page_frame(spark), path).collect()
