@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logfmt import line_of, overflow, pairs
 from ..functions.times import time_of
-from . import scratch
+from . import scratch, seekable
 
 ORDER = ["file_idx", "block_start", "row_id"]
 #: Extensions that Spark's text source decodes itself, and those that need a decoder here.
@@ -65,11 +65,14 @@ def text_files(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
 
 
 def archive(spark: SparkSession, path: str, file_idx: int = 0) -> DataFrame:
-    """Lines of a zstd file under a name that Spark doesn't know: frames one after the other, skippable ones passed over.
+    """Lines of a zstd file under a name that Spark doesn't know; skippable frames are passed over.
 
-    Spark's binary source hands over the file, so any store that Spark reads will do. One
-    archive is one task; frames are decoded in a stream, whatever the size of the text.
+    Under a local path the seek table gives the splits (``seekable``). From another store Spark's
+    binary source hands over the whole file, of up to 2 GB, to one task, which decodes in a stream.
     """
+    if seekable.local(path) is not None:
+        df = seekable.read(spark, path)
+        return _numbered(df.select(F.col("value").cast("string").alias("value"), "block_start"), file_idx, F.col("block_start"))
 
     def lines(batches):
         import pyarrow as pa
