@@ -11,9 +11,11 @@ With two labels, what scoring needs of the model is one number per n-gram bucket
 embedding times the difference of the softmax rows): a table of fixed size, whatever the corpus.
 
 Edge cases: a null or empty text, or one without words, scores as an empty window does
-(the bias alone); equal texts score alike; rows whose label is null are not learned from;
-without labels of both kinds every score is that of the bias; input columns named like
-the results are replaced.
+(the bias alone); a text of any length is scored whole, window by window; equal texts, and
+so repeated rows, score alike; rows whose label is null are not learned from, and of rows of
+one id the one whose words sort first; without labels of both kinds every score is that of the
+bias; ties of the sample's hashes go by id; an empty table gives an empty result. Other columns,
+whatever their names, pass through, but for ``score`` and ``predicted``, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 #: Size of the embedding, and lengths of n-grams.
 BUCKETS, DIM, NGRAMS = 1 << 17, 4, (3, 4, 5)  # BUCKETS: the top 17 bits of 32-bit hashes
 #: Words in a window, and the distance of windows.
@@ -41,8 +45,10 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str | None) -> list[str]:
+def words_of(text: str | None | list[str]) -> list[str]:
     """The distinct words, lower-cased, in order of their first places: repetition adds nothing."""
+    if isinstance(text, list):
+        return text
     return list(dict.fromkeys(_WORD.findall(text.lower()))) if text else []
 
 
@@ -102,9 +108,12 @@ def _starts(n: int) -> np.ndarray:
     return start if start[-1] == last else np.append(start, last)
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 80, warm: int = 15, rate: float = 0.3, seed: int = 7) -> Model:
-    """Adam over the whole sample. The first epochs learn from whole texts, the others from
-    each text's most toxic window, of both labels, with one window at random beside it."""
+def train(texts: list[str | None | list[str]], labels: list[int], epochs: int = 100, warm: int = 15, rate: float = 0.3, decay: float = 0.003, seed: int = 7) -> Model:
+    """Gradient descent with momentum over the whole sample, of texts or their ``words_of``. The first epochs learn from
+    whole texts, the others from each text's most toxic window, of both labels, with one window of clean texts at random beside it.
+
+    All rows of the embedding share one step size, set by the steepest, so n-grams of words that many toxic texts hold
+    move furthest, and those of a text's own words hardly; softmax and bias take Adam's steps."""
     y = np.asarray(labels, np.float32)
     ids: dict[str, int] = {}
     docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int32) for t in texts]
@@ -158,16 +167,21 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 80, warm: in
         for x, grad, (m, v) in zip((emb, soft, bias), (g_emb, g.T @ bag, g.sum(0)), moments):
             m *= 0.9
             m += 0.1 * grad
+            step = m / (1 - 0.9 ** (epoch + 1))
+            if x is emb:
+                x -= rate * step / (np.abs(step).max() + 1e-12)
+                x *= 1 - decay
+                continue
             v *= 0.999
             v += 0.001 * grad * grad
-            x -= rate * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+            x -= rate * step / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
     return Model((emb @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: dict[int, int] | None = None) -> tuple[list, list]:
-    """Texts and labels of a bounded sample: per label, the rows whose ids hash lowest."""
+    """Distinct words and labels of a bounded sample: per label, the rows whose ids hash lowest."""
     spark = docs.sparkSession
-    # ids first: only the texts of the sample, whose size is bounded, leave the scan
+    # ids first: only the words of the sample, whose size is bounded, leave the executors
     found = docs.select("doc_id").join(labels.select("doc_id", F.col(column).cast("int").alias("label")), "doc_id").distinct()
     marks = []
     for label, most in (sample or SAMPLE).items():
@@ -175,13 +189,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str = "toxic", sam
     if not marks:
         return [], []
     chosen = spark.createDataFrame(marks, found.schema)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").collect()
-    got.sort(key=lambda r: (r["label"], r["doc_id"]))
-    return [r["text"] for r in got], [r["label"] for r in got]
+
+    def words(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([words_of(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    got = got.mapInArrow(words, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, words array<string>")
+    rows = got.groupBy("doc_id", "label").agg(F.min("words").alias("words")).collect()
+    rows.sort(key=lambda r: (r["label"], r["doc_id"]))
+    return [r["words"] for r in rows], [r["label"] for r in rows]
 
 
-def scorer(model: Model):
-    """A function for mapInArrow over (doc_id, text, ...): the same rows with ``score`` appended."""
+def scorer(model: Model, place: int):
+    """A function for mapInArrow over rows whose text is the column at ``place``: the same rows with ``score`` appended."""
     weights, bias = model.weights, model.bias
 
     def score(batches):
@@ -189,7 +210,7 @@ def scorer(model: Model):
         known: dict[str, float] = {}
         for batch in batches:
             out = []
-            texts = batch.column(batch.schema.get_field_index("text"))
+            texts = batch.column(place)
             for at in range(0, len(texts), 256):
                 docs = [words_of(t) for t in texts.slice(at, 256).to_pylist()]
                 if len(known) > CACHE:
@@ -206,8 +227,10 @@ def scorer(model: Model):
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with ``score`` and ``predicted`` (1 from ``threshold`` on)."""
-    rows = docs.drop("score", "predicted")
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
-    return rows.mapInArrow(scorer(model), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    plain = docs.select(*(named(c).alias(f"c{i}") for i, c in enumerate(keep)))  # mapInArrow takes no names that need quoting
+    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    rows = plain.mapInArrow(scorer(model, keep.index("text")), schema)
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
