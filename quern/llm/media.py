@@ -8,8 +8,10 @@ pairs of such peaks near in time as ``time << 24 | f1 << 15 | f2 << 6 | dt``, an
 ordered by time.
 
 Edge cases: a null text is empty and has 64 zero bytes; silence has no peaks and so an
-empty fingerprint; equal texts have equal values; long texts are transformed in blocks of
-frames, so memory does not grow with the spectrum; other columns are ignored.
+empty fingerprint; ties of bins go to the lower one; equal texts, and so repeated rows, have
+equal values; a null id stays null; long texts are transformed in blocks of frames, so memory
+does not grow with the spectrum; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -124,5 +126,5 @@ def read_media(media: DataFrame) -> DataFrame:
 
 def media_features(docs: DataFrame) -> DataFrame:
     return read_media(to_media(docs)).select(
-        F.col("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("fingerprint").alias("n_pairs")
+        F.col("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fingerprint", F.size("fingerprint").alias("n_pairs")
     )
