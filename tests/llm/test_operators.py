@@ -255,6 +255,14 @@ def test_ngram_join(docs, texts, monkeypatch, shape):
     assert got == brute_components(texts)
 
 
+def test_ngram_join_of_hot_classes(spark):
+    """Classes of more and of fewer copies than are joined by broadcast, empty texts among them."""
+    one, two = (" ".join(f"{w}{n}" for n in range(40)) for w in ("a", "b"))
+    rows = [(i, one) for i in range(10, 1300)] + [(i, two) for i in range(2000, 2030)] + [(i, "") for i in range(3000, 4200)] + [(5, one.replace("a3 ", "x ")), (6, two + " y")]
+    got = {r.doc_id: r.component_id for r in ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 5 if 10 <= i < 1300 else 6 if 2000 <= i < 2030 else i for i, _ in rows}
+
+
 def test_ngram_join_edges(empty, nulls):
     assert ngramjoin.ngram_join(empty).collect() == []
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngramjoin.ngram_join(nulls).collect())
@@ -299,6 +307,34 @@ def test_media(docs, texts, empty):
     assert media.media_features(empty).collect() == []
 
 
+def brute_fingerprint(samples):
+    """Frame by frame: a plain Fourier sum, the strongest bin of each band, pairs of peaks."""
+    x = [float(v) - 128 for v in samples]
+    frames = max(1, -(-(len(x) - media.FRAME) // media.HOP) + 1)
+    x += [0.0] * ((frames - 1) * media.HOP + media.FRAME - len(x))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(512), np.arange(media.FRAME)) / media.FRAME)
+    found = []
+    for t in range(frames):
+        power = np.abs(wave @ (window * np.array(x[t * media.HOP : t * media.HOP + media.FRAME])))
+        best = [max(range(a, b), key=lambda k: power[k]) for a, b in zip(media.BANDS, media.BANDS[1:])]
+        mean = sum(power[k] for k in best) / len(best)
+        found += [(t, k) for k in best if power[k] > media.STANDS_OUT * mean]
+    codes = []
+    for i, (t, f) in enumerate(found):
+        codes += [t << 24 | f << 15 | g << 6 | u - t for u, g in found[i + 1 : i + 1 + media.FAN] if u - t <= media.REACH]
+    return sorted(codes)
+
+
+def test_media_fingerprints(docs, texts):
+    got = {r.doc_id: r for r in media.media_features(docs).collect()}
+    for i in (0, 70, 140, 175, 190, 191, 193, 199):
+        data = (texts[i] or "").encode()
+        assert got[i].fingerprint == brute_fingerprint(data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))), i
+        assert got[i].n_pairs == len(got[i].fingerprint)
+        assert got[i].feature == f"{got[i].n_pairs}:{hashlib.sha256(b''.join(struct.pack('<q', c) for c in got[i].fingerprint)).hexdigest()[:32]}"
+
+
 def test_peaks_find_a_tone():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 1100 * t / media.RATE)).astype(np.uint8)
@@ -329,6 +365,53 @@ def test_toxicity_learns_and_spares():
     assert score("SOME v3rmin here") == score("some v3rmin here")
 
 
+def brute_score(m, text):
+    """Word by word and window by window, from the model's weights."""
+
+    def word(w):
+        raw = f"<{w}>".encode()
+        at = [zlib.crc32(raw) >> 15]
+        for n in toxicity.NGRAMS:
+            for i in range(len(raw) - n + 1):
+                h = n
+                for c in raw[i : i + n]:
+                    h = (h ^ c) * 0x01000193 % 2**32
+                at.append((h * 0x9E3779B1 % 2**32) >> 15)
+        return sum(float(m.weights[k]) for k in at) / len(at)
+
+    words = list(dict.fromkeys(re.findall(r"[^\W_]+", (text or "").lower())))
+    n = len(words)
+    starts = {*range(0, max(1, n - toxicity.WINDOW + 1), toxicity.STRIDE), max(0, n - toxicity.WINDOW)}
+    score = [word(w) for w in words]
+    means = [sum(score[s : s + toxicity.WINDOW]) / len(score[s : s + toxicity.WINDOW]) for s in starts] if words else [0.0]
+    return 1 / (1 + math.exp(-(m.bias + max(means))))
+
+
+def test_toxicity_scores(docs, texts):
+    """Scores of all documents against brute force, with a model whose weights are all different."""
+    m = toxicity.Model(np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32), -0.4)
+    for r in toxicity.score_toxicity(docs, m).collect():
+        want = brute_score(m, texts[r.doc_id])
+        assert math.isclose(r.score, want, rel_tol=1e-9) and r.predicted == (want >= 0.7), r.doc_id
+
+
+def test_toxicity_query(spark, small):
+    """The registered query: folds, and scores as the model gives them that was trained on the same rows."""
+    from quern.llm.queries import op5_toxicity
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    learn = sorted((label[r.doc_id], r.doc_id, r.text) for r in docs.collect() if fold(r.doc_id) != 1 and label.get(r.doc_id) is not None)
+    m = toxicity.train([t for *_, t in learn], [y for y, *_ in learn])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op5_toxicity(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute_score(m, texts[r.doc_id])
+        assert r.held_out == (fold(r.doc_id) == 1) and math.isclose(r.score, want, rel_tol=1e-6) and r.predicted == (r.score >= 0.7)
+
+
 def test_toxicity_edges(spark, docs, empty, nulls):
     m = toxicity.train(["a", None, ""], [0, 0, 0])
     rows = toxicity.score_toxicity(docs, m).collect()
@@ -398,6 +481,56 @@ def test_rollup(spark, tmp_path, nulls):
     assert rollup.changes(nulls, "v", rollup.words_of(F.coalesce("text", F.lit("")))).agg(F.sum("tokens")).first()[0] == 18
 
 
+def test_rollup_retries_after_compaction(spark, tmp_path, monkeypatch):
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    make = lambda n: rollup.changes(spark.createDataFrame([("a", "en", n)], "source string, lang string, n long"), "v", F.col("n"))
+    assert r.commit("1", make(5)) and r.commit("2", make(7))
+    r.compact("3")
+    assert not r.commit("2", make(7))
+    with pytest.raises(ValueError):
+        r.commit("3", make(1))
+    total = lambda: {tuple(x)[3:] for x in r.totals().collect()}
+    assert r.batches() == ["3"] and total() == {(2, 12)}
+    assert r.commit("4", make(1))
+    r.compact("5")
+    assert not any(r.commit(b, make(7)) for b in "124") and total() == {(3, 13)}
+    with pytest.raises(ValueError):
+        r.compact("2")
+
+
+@pytest.mark.parametrize("at", ["_publish", "_drop"])
+def test_rollup_survives_a_crash(spark, tmp_path, monkeypatch, at):
+    """Between what a compaction writes and its manifest, and between that and the deletes; and in a commit."""
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    make = lambda n: rollup.changes(spark.createDataFrame([("a", "en", n)], "source string, lang string, n long"), "v", F.col("n"))
+    r.commit("1", make(5))
+    r.commit("2", make(7))
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(rollup.TokenRollup, at, crash)
+        with pytest.raises(OSError):
+            r.compact("3")
+        if at == "_drop":
+            with pytest.raises(OSError):
+                r.commit("4", make(1))
+                r.commit("4", make(1))
+    total = lambda: {tuple(x)[3:] for x in r.totals().collect()}
+    want = {(2, 12)} if at == "_publish" else {(3, 13)}
+    assert total() == want
+    for b, n in (("1", 5), ("2", 7)):
+        r.commit(b, make(n))
+    assert total() == want
+    if at == "_publish":
+        r.compact("3")
+    r.compact("9")
+    assert r.batches() == ["9"] and total() == want
+    (tmp_path / "r" / "batch=8" / "try=1").mkdir(parents=True)  # a commit that never ended
+    assert total() == want and r.commit("8", make(2)) and total() == {(a + 1, b + 2) for a, b in want}
+
+
 # ---------------------------------------------------------------- 8 context-tree weighting
 
 
@@ -490,56 +623,6 @@ def test_ctw_pieces():
         w = [np.concatenate([ctw.block_words(p)[0] for p in ps]) for ps in (parts, whole)]
         assert (g[0] == g[1]).all() and (w[0] == w[1]).all() and len(g[0]) == sum(len(t) + 1 for t in texts)
 
-def test_rollup_retries_after_compaction(spark, tmp_path, monkeypatch):
-    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
-    make = lambda n: rollup.changes(spark.createDataFrame([("a", "en", n)], "source string, lang string, n long"), "v", F.col("n"))
-    assert r.commit("1", make(5)) and r.commit("2", make(7))
-    r.compact("3")
-    assert not r.commit("2", make(7))
-    with pytest.raises(ValueError):
-        r.commit("3", make(1))
-    total = lambda: {tuple(x)[3:] for x in r.totals().collect()}
-    assert r.batches() == ["3"] and total() == {(2, 12)}
-    assert r.commit("4", make(1))
-    r.compact("5")
-    assert not any(r.commit(b, make(7)) for b in "124") and total() == {(3, 13)}
-    with pytest.raises(ValueError):
-        r.compact("2")
-
-
-@pytest.mark.parametrize("at", ["_publish", "_drop"])
-def test_rollup_survives_a_crash(spark, tmp_path, monkeypatch, at):
-    """Between what a compaction writes and its manifest, and between that and the deletes; and in a commit."""
-    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
-    make = lambda n: rollup.changes(spark.createDataFrame([("a", "en", n)], "source string, lang string, n long"), "v", F.col("n"))
-    r.commit("1", make(5))
-    r.commit("2", make(7))
-
-    def crash(*_):
-        raise OSError("lost")
-
-    with monkeypatch.context() as m:
-        m.setattr(rollup.TokenRollup, at, crash)
-        with pytest.raises(OSError):
-            r.compact("3")
-        if at == "_drop":
-            with pytest.raises(OSError):
-                r.commit("4", make(1))
-                r.commit("4", make(1))
-    total = lambda: {tuple(x)[3:] for x in r.totals().collect()}
-    want = {(2, 12)} if at == "_publish" else {(3, 13)}
-    assert total() == want
-    for b, n in (("1", 5), ("2", 7)):
-        r.commit(b, make(n))
-    assert total() == want
-    if at == "_publish":
-        r.compact("3")
-    r.compact("9")
-    assert r.batches() == ["9"] and total() == want
-    (tmp_path / "r" / "batch=8" / "try=1").mkdir(parents=True)  # a commit that never ended
-    assert total() == want and r.commit("8", make(2)) and total() == {(a + 1, b + 2) for a, b in want}
-
-
 
 def test_ctw_edges(empty, nulls):
     assert ctw.score_corpus(empty).collect() == []
@@ -570,13 +653,44 @@ def test_distinct():
 # ---------------------------------------------------------------- 9 winnowing
 
 
+def brute_winnow(text, k=winnowing.K, w=winnowing.W):
+    """(value, position) of the chosen grams, one at a time."""
+    import xxhash
+
+    h = [(xxhash.xxh64_intdigest(x.encode(), seed=42) >> 29) % winnowing.PRIME for x in WORDS.findall(text.lower())]
+    if not h:
+        return []
+    h += [0] * (k - len(h))
+    roll, values = 0, []
+    for i, x in enumerate(h):
+        roll = (roll * winnowing.BASE + x - (h[i - k] * winnowing.BASE**k if i >= k else 0)) % winnowing.PRIME
+        if i >= k - 1:
+            values.append(roll)
+    out = []
+    for a in range(max(1, len(values) - w + 1)):
+        part = values[a : a + w]
+        at = a + max(j for j, y in enumerate(part) if y == min(part))
+        if not out or out[-1][1] != at:
+            out.append((values[at], at))
+    return out
+
+
 def test_winnowing(spark, docs, texts):
     got = {r.doc_id: r for r in winnowing.fingerprint_edits(docs).collect()}
     ids = sorted(texts, reverse=True)
+
+    def digest(chosen):
+        return f"{len(chosen)}:{hashlib.md5(','.join(f'{v << 28 | (2**28 - 1 - p):X}' for v, p in chosen).encode()).hexdigest()}"
+
+    def near(a, b):
+        a, b = {v for v, _ in a}, {v for v, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
     for k, i in enumerate(ids):
         text, follow = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
         cut = len(text) // 3
         edited = text[: len(text) - cut] + follow[:cut]
+        own, changed, after = map(brute_winnow, (text, edited, follow))
         assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (got[i].fingerprint, got[i].edited_fingerprint) == (digest(own), digest(changed))
         assert math.isclose(got[i].near_edited, near(own, changed)) and math.isclose(got[i].near_next, near(own, after))
@@ -589,6 +703,9 @@ def test_next_document(docs, texts, nulls, monkeypatch, block):
     ids = sorted(texts, reverse=True)
     small = {r.doc_id: r.next_text for r in winnowing.with_next(docs, group_rows=7).collect()}
     assert small == {i: texts[ids[(k + 1) % len(ids)]] or "" for k, i in enumerate(ids)}
+    got = sorted((r.doc_id or 0, r.text, r.next_text) for r in winnowing.with_next(nulls, group_rows=1).collect())
+    same = "a b c d e f"
+    assert got == [(0, "", same), (0, same, same), (1, same, ""), (1, same, same)] or got == [(0, "", same), (0, same, same), (1, same, same), (1, same, "")]
 
 
 @pytest.mark.parametrize(("k", "w"), [(1, 1), (2, 3), (3, 5), (5, 4), (7, 9)])
@@ -640,37 +757,3 @@ def test_mixing(docs, texts):
 def test_mixing_edges(empty, nulls):
     assert mixing.mix(empty).collect() == []
     assert mixing.mix(nulls, keep=["text", "n"]).count() == 4
-def brute_winnow(text, k=winnowing.K, w=winnowing.W):
-    """(value, position) of the chosen grams, one at a time."""
-    import xxhash
-
-    h = [(xxhash.xxh64_intdigest(x.encode(), seed=42) >> 29) % winnowing.PRIME for x in WORDS.findall(text.lower())]
-    if not h:
-        return []
-    h += [0] * (k - len(h))
-    roll, values = 0, []
-    for i, x in enumerate(h):
-        roll = (roll * winnowing.BASE + x - (h[i - k] * winnowing.BASE**k if i >= k else 0)) % winnowing.PRIME
-        if i >= k - 1:
-            values.append(roll)
-    out = []
-    for a in range(max(1, len(values) - w + 1)):
-        part = values[a : a + w]
-        at = a + max(j for j, y in enumerate(part) if y == min(part))
-        if not out or out[-1][1] != at:
-            out.append((values[at], at))
-    return out
-
-
-
-    def digest(chosen):
-        return f"{len(chosen)}:{hashlib.md5(','.join(f'{v << 28 | (2**28 - 1 - p):X}' for v, p in chosen).encode()).hexdigest()}"
-
-    def near(a, b):
-        a, b = {v for v, _ in a}, {v for v, _ in b}
-        return len(a & b) / len(a | b) if a | b else 1.0
-
-        own, changed, after = map(brute_winnow, (text, edited, follow))
-    got = sorted((r.doc_id or 0, r.text, r.next_text) for r in winnowing.with_next(nulls, group_rows=1).collect())
-    same = "a b c d e f"
-    assert got == [(0, "", same), (0, same, same), (1, same, ""), (1, same, same)] or got == [(0, "", same), (0, same, same), (1, same, same), (1, same, "")]
