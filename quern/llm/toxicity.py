@@ -45,10 +45,8 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str | None | list[str]) -> list[str]:
+def words_of(text: str | None) -> list[str]:
     """The distinct words, lower-cased, in order of their first places: repetition adds nothing."""
-    if isinstance(text, list):
-        return text
     return list(dict.fromkeys(_WORD.findall(text.lower()))) if text else []
 
 
@@ -108,8 +106,8 @@ def _starts(n: int) -> np.ndarray:
     return start if start[-1] == last else np.append(start, last)
 
 
-def train(texts: list[str | None | list[str]], labels: list[int], epochs: int = 100, warm: int = 15, rate: float = 0.3, decay: float = 0.003, seed: int = 7) -> Model:
-    """Gradient descent with momentum over the whole sample, of texts or their ``words_of``. The first epochs learn from
+def train(texts: list[str | None], labels: list[int], epochs: int = 100, warm: int = 15, rate: float = 0.3, decay: float = 0.003, seed: int = 7) -> Model:
+    """Gradient descent with momentum over the whole sample. The first epochs learn from
     whole texts, the others from each text's most toxic window, of both labels, with one window of clean texts at random beside it.
 
     All rows of the embedding share one step size, set by the steepest, so n-grams of words that many toxic texts hold
@@ -179,7 +177,7 @@ def train(texts: list[str | None | list[str]], labels: list[int], epochs: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: dict[int, int] | None = None) -> tuple[list, list]:
-    """Distinct words and labels of a bounded sample: per label, the rows whose ids hash lowest."""
+    """Texts, of their distinct words only, and labels of a bounded sample: per label, the rows whose ids hash lowest."""
     spark = docs.sparkSession
     # ids first: only the words of the sample, whose size is bounded, leave the executors
     found = docs.select("doc_id").join(labels.select("doc_id", F.col(column).cast("int").alias("label")), "doc_id").distinct()
@@ -192,10 +190,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str = "toxic", sam
 
     def words(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([words_of(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([" ".join(words_of(t)) for t in batch.column(2).to_pylist()], pa.string())], ["doc_id", "label", "words"])
 
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = got.mapInArrow(words, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, words array<string>")
+    got = got.mapInArrow(words, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, words string")
     rows = got.groupBy("doc_id", "label").agg(F.min("words").alias("words")).collect()
     rows.sort(key=lambda r: (r["label"], r["doc_id"]))
     return [r["words"] for r in rows], [r["label"] for r in rows]
