@@ -575,7 +575,7 @@ def _by_document(chunks: DataFrame, answers: DataFrame, depth: int) -> DataFrame
 
     texts = chunks.where(F.col("kind") == TEXTS).select(columns)
     rows = texts.unionByName(answers, allowMissingColumns=True).select(columns)
-    rows = rows.repartition(partitions(chunks.sparkSession), "chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    rows = rows.repartition(max(partitions(chunks.sparkSession), texts.select("chunk").count() // 4), "chunk").sortWithinPartitions("chunk", F.desc("kind"))
     return rows.mapInArrow(run, f"doc_id {of.simpleString()}, held_out boolean, n_bytes long, n_tokens long, n_known long, sums double, score double")
 
 
