@@ -9,19 +9,23 @@
    give stars. Posting lists that the sketch shows to be huge are salted.
 3. Stars and pairs make loose groups, of which each true link is inside one. A third scan
    fetches the sets of their members only, past a bitmap of fixed size.
-4. Groups are cut into chunks and joined in prefix trees (``trie.py``): first each chunk with
-   itself, which already connects most near copies; then pairs of chunks, but not those
-   of one component, as links within it are known to change nothing.
+4. Groups are cut into chunks, large ones by bands of set size, and joined in prefix trees
+   (``trie.py``): first each chunk with itself, which already connects most near copies; then
+   pairs of chunks whose sizes can be alike, but not those of one component, as links within
+   it are known to change nothing.
 
 Edge cases: a null or empty text, or one without words, has no shingle, links with nothing
 and is its own component; with under five words the whole sequence is the one shingle;
 equal texts and repeated rows are linked, also under one id; rows of one id share its
-links; a null id has no link and a null component; an empty table gives an empty result;
-other columns are ignored. Shingles are compared by 56 bits of hash and a class.
+links; a null id has no link and a null component; a text of any length is one set, never a
+part of it; an empty table gives an empty result; other columns are ignored, whatever their
+names. Shingles are compared by 56 bits of hash and a class.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +46,8 @@ HOT = 1 << 16
 BITS = 1 << 23
 #: Sets, and shingles of all its sets, that a chunk holds, about.
 CHUNK_SETS, CHUNK_SHINGLES = 384, 2_000_000
+#: Rows of a table of large groups or their bands that may be broadcast.
+SENT = 100_000
 _TOP = np.uint64(56)
 _LOW = np.uint64((1 << 56) - 1)
 
@@ -281,6 +287,12 @@ def _sets(docs: DataFrame, members: DataFrame, order: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"node {kind}, n long, tokens binary").where("n > 0").join(members, "node")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """``rows``, written, to be broadcast if there are at most ``SENT`` of them, and joined by key otherwise."""
+    rows = written(rows, "groups")
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def _joined(blocks: DataFrame, likeness: int) -> DataFrame:
     """Links (a, b) that connect what blocks (g, x, y; node, comp, tokens) hold: a forest of each block."""
 
@@ -307,7 +319,9 @@ def _joined(blocks: DataFrame, likeness: int) -> DataFrame:
         return pa.table({"a": nodes.take(pa.array(left, pa.int64())), "b": nodes.take(pa.array(right, pa.int64()))})
 
     kind = blocks.schema["node"].dataType.simpleString()
-    return blocks.select("g", "x", "y", "node", "comp", "tokens").groupBy("g", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
+    # dealt by block: a join by group would leave all blocks of a group in one task
+    blocks = blocks.select("g", "x", "y", "node", "comp", "tokens").repartition(partitions(blocks.sparkSession), "g", "x", "y")
+    return blocks.groupBy("g", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def jaccard_links(docs: DataFrame, profile: DataFrame, likeness: int = LIKENESS) -> DataFrame:
@@ -317,30 +331,35 @@ def jaccard_links(docs: DataFrame, profile: DataFrame, likeness: int = LIKENESS)
     groups = components(_loose(postings, likeness)).withColumnRenamed("component", "g")
     sets = written(_sets(docs, groups, order), "sets")
 
-    # chunks of a group, and each with itself
-    k = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    parts = sets.groupBy("g").agg(k.alias("k"))
-    rows = sets.join(parts, "g").withColumn("x", F.pmod(F.hash("node"), F.col("k")))
+    # chunks of a group, by bands of size if there are several, and each with itself
+    need = lambda m, w: F.ceil(F.greatest(m / CHUNK_SETS, w / CHUNK_SHINGLES)).cast("int")
+    sized = need(F.count(F.lit(1)), F.sum("n"))
+    sets = sets.withColumn("band", F.floor(F.log("n") / math.log(100 / min(likeness, 99))).cast("int"))
+    large = _sent(sets.groupBy("g").agg(sized.alias("k")).where("k > 1").select("g"))
+    bands = _sent(sets.join(large, "g").groupBy("g", "band").agg(sized.alias("own")))
+    place = F.when(F.col("own").isNotNull(), F.concat_ws(":", "band", F.pmod(F.hash("node"), F.col("own"))))
+    rows = sets.join(bands, ["g", "band"], "left").withColumn("x", F.coalesce(place, F.lit("")))
     first = written(_joined(rows.withColumn("y", F.col("x")).withColumn("comp", F.col("node")), likeness), "links")
-    cut = written(rows.where("k > 1").select("g", "node", "n"), "cut")
+    cut = written(rows.where("own is not null").select("g", "node", "n", "band"), "cut")
     if cut.isEmpty():
         return components(first)
 
-    # what is left of the groups of several chunks: chunks by component, then their pairs
+    # what is left of the groups of several chunks: large components and bands of size in chunks of their own, then pairs of chunks
     found = components(first)
-    cut = cut.join(found, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("comp"))
+    cut = cut.join(found, "node", "left").select("g", "node", "n", "band", F.coalesce("component", "node").alias("comp"))
     size = cut.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-    size = size.withColumn("alone", (F.col("m") >= CHUNK_SETS // 2) | (F.col("w") >= CHUNK_SHINGLES // 2))
-    need = lambda m, w: F.ceil(F.greatest(m / CHUNK_SETS, w / CHUNK_SHINGLES)).cast("int")
-    mixed_k = size.where("not alone").groupBy("g").agg(need(F.sum("m"), F.sum("w")).alias("mixed"))
-    size = size.withColumn("own", need(F.col("m"), F.col("w"))).join(mixed_k, "g", "left")
-    cut = cut.join(size.select("g", "comp", "alone", "own", "mixed"), ["g", "comp"])
-    chunk = F.when(F.col("alone"), F.concat_ws(":", F.lit("c"), F.col("comp").cast("string"), F.pmod(F.hash("node"), F.col("own")).cast("string")))
-    cut = cut.select("g", "node", "comp", "alone", chunk.otherwise(F.concat_ws(":", F.lit("m"), F.pmod(F.hash("comp"), F.col("mixed")).cast("string"))).alias("chunk"))
-    cut = written(cut, "cut")
-    chunks = cut.select("g", "chunk", F.when(F.col("alone"), F.col("comp")).alias("pure")).distinct()
-    other = chunks.select(F.col("g").alias("g2"), F.col("chunk").alias("chunk2"), F.col("pure").alias("pure2"))
+    size = size.select("g", "comp", need(F.col("m"), F.col("w")).alias("own"), ((F.col("m") >= CHUNK_SETS // 2) | (F.col("w") >= CHUNK_SHINGLES // 2)).alias("alone"))
+    cut = cut.join(size, ["g", "comp"])
+    mixed = cut.where("not alone").groupBy("g", "band").agg(sized.alias("mixed"))
+    cut = cut.join(mixed, ["g", "band"], "left")
+    chunk = F.when(F.col("alone"), F.concat_ws(":", F.lit("c"), F.col("comp").cast("string"), F.pmod(F.hash("node"), F.col("own"))))
+    chunk = chunk.otherwise(F.concat_ws(":", F.lit("m"), "band", F.pmod(F.hash("comp"), F.col("mixed"))))
+    cut = written(cut.select("g", "node", "n", "comp", "alone", chunk.alias("chunk")), "cut")
+    chunks = cut.groupBy("g", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.when(F.col("alone"), F.col("comp"))).alias("pure"))
+    other = chunks.toDF("g2", "chunk2", "low2", "high2", "pure2")
     apart = F.col("pure").isNull() | F.col("pure2").isNull() | (F.col("pure") != F.col("pure2"))
+    # sets alike are of like sizes
+    apart = apart & (100 * F.col("high") >= likeness * F.col("low2")) & (100 * F.col("high2") >= likeness * F.col("low"))
     pairs = chunks.join(other, (F.col("g") == F.col("g2")) & (F.col("chunk") <= F.col("chunk2")) & apart).select("g", F.col("chunk").alias("x"), F.col("chunk2").alias("y"))
     places = pairs.select("g", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"))
     blocks = sets.select("g", "node", "tokens").join(cut.select("node", "comp", "chunk"), "node").join(places, ["g", "chunk"])
@@ -352,13 +371,21 @@ def jaccard_links(docs: DataFrame, profile: DataFrame, likeness: int = LIKENESS)
 def ngram_join(docs: DataFrame, likeness: int = LIKENESS) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the least id reachable by links."""
     profile = written(_profile(docs), "profile")
-    rows = profile.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "one", "two")
-    same = ["n_shingles", "one", "two"]
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("least"))
+    every = profile.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "one", "two")
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    rows, same = every.where(some), ["n_shingles", "one", "two"]
+    classes = rows.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"))
     linked = jaccard_links(docs, profile, likeness)
     # a node stands for its class: the components of classes, by the least id of each
-    class_of = rows.where("n_shingles > 0").select(F.col("doc_id").alias("node"), *same).join(linked, "node")
+    class_of = every.where("n_shingles > 0").select(F.col("doc_id").alias("node"), *same).join(linked, "node")
     via = class_of.join(classes, same).groupBy("component").agg(F.min("least").alias("lowest"))
     of_class = class_of.join(via, "component").groupBy(*same).agg(F.min("lowest").alias("lowest"))
-    classes = classes.join(of_class, same, "left").select(*same, F.coalesce("lowest", "least").alias("component"))
-    return rows.join(classes, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    classes = classes.join(of_class, same, "left").select(*same, "m", F.coalesce("lowest", "least").alias("component"))
+    classes = written(classes, "classes")
+    # classes of many copies, of which there are at most 1,000, go to the rows; the others are joined by class
+    most = max(1_000, rows.count() // 1_000)
+    hot = F.broadcast(classes.where(F.col("m") > most).drop("m"))
+    cold = rows.join(hot, same, "left_anti").join(classes.where(F.col("m") <= most), same)
+    alone = every.where(~some).withColumn("component", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", F.col("component").alias("component_id")]
+    return rows.join(hot, same).select(*columns).unionByName(cold.select(*columns)).unionByName(alone.select(*columns))

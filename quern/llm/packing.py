@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import before, written
 
 LENGTH, SEPARATOR = 2048, 0
 #: Documents in a pattern at most, and tokens in a bin of lengths.
@@ -277,12 +277,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, separator: int =
     packed = plan(histogram, length)
 
     # ranks within a length, and numbers of full pieces, group by group
-    parts = rows.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("rest", "salt", base.alias("rank_base"))
-    fulls = rows.groupBy("salt").agg(F.sum("full").alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fulls = fulls.select("salt", base.alias("full_base"))
+    parts = before(rows.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n")), ["rest"], "salt", "n").withColumnRenamed("before", "rank_base")
+    fulls = rows.groupBy("salt").agg(F.sum("full").alias("n")).withColumn("all", F.lit(0))
+    fulls = before(fulls, ["all"], "salt", "n").select("salt", F.col("before").alias("full_base"))
     by = Window.partitionBy("salt").orderBy("rest", "doc_id", "total")
     earlier = F.coalesce(F.sum("full").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(Window.partitionBy("salt", "rest").orderBy("doc_id", "total")) - 1
