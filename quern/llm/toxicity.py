@@ -121,7 +121,10 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 100, warm: i
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), math.log((share + 0.01) / (1.01 - share)))
     rng = np.random.default_rng(seed)
-    flat, size = buckets_of(list(ids))
+    words = list(ids)
+    parts = [buckets_of(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]  # in parts, for the driver's memory
+    flat, size = (np.concatenate(x) for x in zip(*parts))
+    del words, parts
     start = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     del ids
