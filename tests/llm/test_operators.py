@@ -255,6 +255,27 @@ def test_ngram_join(docs, texts, monkeypatch, shape):
     assert got == brute_components(texts)
 
 
+def test_ngram_join_with_common_shingles(docs, texts, monkeypatch):
+    """Every text is in the sample, and what two texts share is common there."""
+    monkeypatch.setattr(ngramjoin, "SAMPLED", 1)
+    monkeypatch.setattr(ngramjoin, "AGAIN", 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.ngram_join(docs).collect()}
+    assert got == brute_components(texts)
+
+
+def test_common_passages_make_no_loose_groups(spark, monkeypatch):
+    """Under a sketch too full to tell, texts that share a passage and no more are not fetched."""
+    monkeypatch.setattr(ngramjoin, "SAMPLED", 1, raising=False)
+    monkeypatch.setattr(ngramjoin, "_order", lambda profile: np.zeros(ngramjoin.COUNTERS, np.uint8))
+    fetched, sets = [], ngramjoin._sets
+    monkeypatch.setattr(ngramjoin, "_sets", lambda docs, members, order: fetched.append(members.count()) or sets(docs, members, order))
+    rows = [(i, " ".join([*(f"p{i % 3}w{n}" for n in range(12)), *(f"d{i}w{n}" for n in range(40))])) for i in range(300)]
+    rows.append((300, rows[7][1].replace("d7w39", "x")))
+    got = {r.doc_id: r.component_id for r in ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 7 if i == 300 else i for i, _ in rows}
+    assert fetched == [2]
+
+
 def test_ngram_join_of_hot_classes(spark):
     """Classes of more and of fewer copies than are joined by broadcast, empty texts among them."""
     one, two = (" ".join(f"{w}{n}" for n in range(40)) for w in ("a", "b"))
