@@ -41,7 +41,7 @@ from .components import components
 #: Counters of the sketch, and how many of them are a row when they are summed.
 COUNTERS, SLICE = 1 << 20, 1 << 14
 #: One text in so many is looked through for common shingles: those that so many distinct texts of the sample have.
-SAMPLED, AGAIN = 16, 3
+SAMPLED, AGAIN = 8, 2
 #: Bits of the number of a cell in the table of common shingles, and of those that its parts have in common.
 CELL, PART = 24, 10
 #: Posting lists up to this length give pairs, longer ones stars.

@@ -121,3 +121,21 @@ def test_packing_stage_of_awkward_rows(spark, awkward):
     docs, folder = awkward
     rows = corpus_pipeline.packing_stage(spark, docs, folder).collect()
     assert sum(r.piece == 0 for r in rows) == docs.count() and {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_near_duplicate_stage_fetches_no_texts_of_common_passages(spark, monkeypatch):
+    """Under a sketch too full to tell, only near copies are fetched, and the later one of them goes."""
+    import numpy as np
+
+    from quern.llm import ngramjoin
+
+    monkeypatch.setattr(ngramjoin, "SAMPLED", 1, raising=False)
+    monkeypatch.setattr(ngramjoin, "_order", lambda profile: np.zeros(ngramjoin.COUNTERS, np.uint8))
+    fetched, sets = [], ngramjoin._sets
+    monkeypatch.setattr(ngramjoin, "_sets", lambda docs, members, order: fetched.append(members.count()) or sets(docs, members, order))
+    rows = [(i, " ".join([*(f"p{i % 2}w{n}" for n in range(12)), *(f"d{i}w{n}" for n in range(40))]), "a") for i in range(120)]
+    rows.append((120, rows[7][1].replace("d7w39", "x"), "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(120))
+    assert fetched == [2]
