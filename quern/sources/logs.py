@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import islice
+from itertools import islice, pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ TABLE = ".lines"
 _CHUNK = 4 << 20
 #: Inputs from which all text files are one scan rather than one each; lines of standard input that are spooled at once.
 MANY, SPOOL = 8, 50_000
+#: Lines of a piece in which the driver sends those that it holds.
+_PIECE = 10_000
 
 
 def _numbered(df: DataFrame, file_idx: int, block) -> DataFrame:
@@ -109,6 +111,49 @@ def zstd_lines(data: bytes) -> Iterator[bytes]:
         yield rest
 
 
+def held(spark: SparkSession, part: list[str], file_idx: int = 0) -> DataFrame:
+    """Lines that the driver holds, however many they are."""
+    return _numbered(_frame(spark, part), file_idx, F.lit(0))
+
+
+def _frame(spark: SparkSession, part: list[str]) -> DataFrame:
+    """``value`` in the order of the lines, many of them as Arrow batches.
+
+    The batches are rows of an RDD: over a local relation the optimizer would run filters itself, in one thread.
+    """
+    import pyarrow as pa
+
+    few = lambda: spark.createDataFrame([(t,) for t in part], "value string")
+    if len(part) < _PIECE:
+        return few()
+    ends, size = [0], 0
+    for i, line in enumerate(part, 1):
+        size += len(line)
+        if i - ends[-1] >= _PIECE or size >= _CHUNK or i == len(part):
+            ends.append(i)
+            size = 0
+    try:
+        pieces = [pa.RecordBatch.from_pydict({"value": pa.array(part[i:j], pa.string())}) for i, j in pairwise(ends)]
+    except UnicodeEncodeError:  # half of a surrogate pair, which Arrow has no text for
+        return few()
+
+    def sent(batch) -> bytes:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as to:
+            to.write_batch(batch)
+        return out.getvalue().to_pybytes()
+
+    def received(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield from pa.ipc.open_stream(data)
+
+    rows = spark.sparkContext.parallelize([(sent(x),) for x in pieces], len(pieces))
+    return spark.createDataFrame(rows, "piece binary").mapInArrow(received, "value string")
+
+
 def lines(spark: SparkSession, texts: Iterable[str] | DataFrame, file_idx: int = 0) -> DataFrame:
     """What stands for standard input: an iterable of lines, or a DataFrame with a string column ``value``.
 
@@ -118,13 +163,12 @@ def lines(spark: SparkSession, texts: Iterable[str] | DataFrame, file_idx: int =
     if isinstance(texts, DataFrame):
         return _numbered(texts.select("value"), file_idx, F.lit(0))
     texts = iter(texts)
-    frame = lambda part: spark.createDataFrame([(t,) for t in part], "value string")
     part = list(islice(texts, SPOOL))
     if len(part) < SPOOL:
-        return _numbered(frame(part), file_idx, F.lit(0))
+        return held(spark, part, file_idx)
     path, n = scratch.folder(spark, "input"), 0
     while part:
-        rows = frame(part).withColumn("row_id", F.monotonically_increasing_id())
+        rows = _frame(spark, part).withColumn("row_id", F.monotonically_increasing_id())
         rows.withColumn("block_start", F.lit(n).cast("bigint")).write.mode("append").parquet(path)
         part, n = list(islice(texts, SPOOL)), n + 1
     return spark.read.parquet(path).orderBy("block_start", "row_id").select(F.lit(file_idx).alias("file_idx"), "block_start", "row_id", "value")

@@ -12,7 +12,6 @@ warns and goes on without it. The same holds before the reader has opened the fi
 from __future__ import annotations
 
 import os
-import queue
 import threading
 import time
 import warnings
@@ -32,6 +31,8 @@ from ..sources import logs, scratch
 
 #: Bytes that a micro-batch reads at most, unless one line is longer.
 CHUNK = 8 << 20
+#: Bytes of lines from standard input that wait for an answer at most, about; what a line takes besides its text.
+HELD, LINE = 64 << 20, 100
 
 
 def _whole_lines(f: BinaryIO, start: int, most: int = CHUNK) -> tuple[list[bytes], int]:
@@ -286,6 +287,9 @@ class Live:
         """A batch of lines with ``matched``."""
         from ..plans.planner import Engine
 
+        if self.buckets and not (self.totals or self.around or self.query.raw_key is not None or self.query.prints_lines):
+            self.count(df.where("matched"), batch_id)  # the one pass over the lines
+            return
         df = df.persist()
         try:
             rows = df.where("matched")
@@ -318,42 +322,67 @@ def can_listen(query: Query) -> bool:
     return not waits and not (query.count and query.bucket is None and query.group_by)
 
 
-def listen(spark: SparkSession, lines: Iterable[str], query: Query, emit, most: int = 50_000, wait: float = 0.5) -> None:
-    """Answers a query over lines while they come, as from a pipe: buckets are printed as they close, matches at once.
-
-    Lines are taken in batches of up to ``most``, or of what came within ``wait`` seconds, by a
-    thread that holds no more than two batches. At the end come open buckets and summaries.
-    """
-    from ..plans.planner import Engine
+class Waiting:
+    """Lines that came and wait for an answer, between a thread that puts them and one that takes them."""
 
-    waiting: queue.Queue = queue.Queue(maxsize=most)
+    def __init__(self, lines: Iterable[str]):
+        self.lines: list[str] = []
+        self.size, self.over, self.error = 0, False, None
+        self.changed = threading.Condition()
+        threading.Thread(target=self._put, args=(lines,), daemon=True).start()
 
-    def take() -> None:
+    def _put(self, lines: Iterable[str]) -> None:
         try:
             for line in lines:
-                waiting.put(line)
+                with self.changed:
+                    while self.size >= HELD and not self.over:
+                        self.changed.wait()
+                    if self.over:
+                        return
+                    self.lines.append(line)
+                    self.size += len(line) + LINE
+                    self.changed.notify()
+        except BaseException as e:  # the input isn't whole, which whoever takes the lines must know
+            self.error = e
         finally:
-            waiting.put(None)
+            self.close()
+
+    def close(self) -> None:
+        """Nothing is put any more."""
+        with self.changed:
+            self.over = True
+            self.changed.notify()
+
+    def take(self, enough: int, wait: float) -> list[str]:
+        """All lines that wait, as soon as they are enough or the first of them has waited; none at the end."""
+        with self.changed:
+            self.changed.wait_for(lambda: self.lines or self.over)
+            self.changed.wait_for(lambda: len(self.lines) >= enough or self.size >= HELD or self.over, wait)
+            part, self.lines, self.size = self.lines, [], 0
+            self.changed.notify()
+        if not part and self.error is not None:
+            raise self.error
+        return part
+
+
+def listen(spark: SparkSession, lines: Iterable[str], query: Query, emit, most: int = 50_000, wait: float = 0.5) -> None:
+    """Answers a query over lines while they come, as from a pipe: buckets are printed as they close, matches at once.
+
+    A batch is asked for as soon as ``most`` lines wait, or those that came within ``wait`` seconds. It
+    has all that wait by then: while answers are slower than the input, batches grow up to ``HELD``
+    bytes, so that the number of Spark jobs doesn't follow that of the lines. No more than two such batches are held.
+    At the end come open buckets and summaries.
+    """
+    from ..plans.planner import Engine
 
-    threading.Thread(target=take, daemon=True).start()
     live, hit = Live(spark, query, emit), tested(query, Engine(spark, []).window(query))
-    batch_id, over = 0, False
-    while not over:
-        part, until = [], time.monotonic() + wait
-        while len(part) < most and not over:
-            try:
-                line = waiting.get(timeout=max(0.0, until - time.monotonic()) if part else None)
-            except queue.Empty:
-                break
-            if line is None:
-                over = True
-            else:
-                if not part:
-                    until = time.monotonic() + wait
-                part.append(line)
-        if part:
-            live.add(logs.parsed(logs.with_raw(logs.lines(spark, part))).withColumn("matched", hit), batch_id)
+    waiting, batch_id = Waiting(lines), 0
+    try:
+        while part := waiting.take(most, wait):
+            live.add(logs.parsed(logs.with_raw(logs.held(spark, part))).withColumn("matched", hit), batch_id)
             batch_id += 1
+    finally:
+        waiting.close()
     live.finish()
 
 

@@ -195,3 +195,34 @@ def test_standard_input_is_answered_while_it_comes(spark):
     out.clear()
     listen(spark, iter([f"n={i}" for i in range(7)]), Query(where=("n>=3",), count=True), out.append, most=2)
     assert out == ["4"]
+
+
+def test_batches_of_standard_input_grow_while_it_is_ahead(spark, monkeypatch):
+    """As many Spark jobs as answers take time, not as lines come; a bucket still closes once."""
+    from quern.streaming.tail import Live, listen
+
+    sizes, add = [], Live.add
+    monkeypatch.setattr(Live, "add", lambda self, df, batch_id: (sizes.append(batch_id), add(self, df, batch_id)))
+    texts = [f"time=2026-01-01T00:{i // 600:02d}:{i // 10 % 60:02d}Z kind={i % 3}" for i in range(3_000)]
+    out = []
+    listen(spark, iter(texts), Query(where=("kind!=1",), count=True, bucket="1min"), out.append, most=10)
+    assert len(sizes) <= 20
+    assert [x.split()[:2] for x in out] == [["count=400", f"bucket.start=2026-01-01T00:{m:02d}:00Z"] for m in range(5)]
+
+
+def test_standard_input_that_fails_is_no_end(spark):
+    from quern.streaming.tail import listen
+
+    def lines():
+        yield "n=1"
+        raise OSError("gone")
+
+    with pytest.raises(OSError, match="gone"):
+        listen(spark, lines(), Query(count=True), [].append)
+
+
+def test_many_held_lines_keep_their_order(spark):
+    texts = [f'n={i} m="ä\\n{"x" * (i % 7)}"\r' for i in range(25_000)] + ["", "x" * 5_000_000, "y"]
+    df = logs.held(spark, texts)
+    assert df.rdd.getNumPartitions() > 3
+    assert [r["value"] for r in df.orderBy(*logs.ORDER).collect()] == texts
