@@ -21,12 +21,21 @@ _TOKEN = r'(?s)=[^ ]*|([^= ]+)(?:=("[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[^ ]*))
 # the same again, for patterns that walk over whole pairs from the start of a line and never back
 VALUE = r'(?:"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[^ ]*+)'
 _BETWEEN = r"(?: |=[^ ]*+)*+"
-_PIECE = r"(?s)[^\\]+|\\.|\\\z"
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is looked at."""
+    return F.transform(F.array(value), use)[0]
+
+
+def once(value: Column) -> Column:
+    """A value to be selected, made once: through a generator, which filters behind it aren't moved past with another copy of it."""
+    return F.explode(F.array(value))
 
 
 def line_of(value: Column) -> Column:
     """The line without its run of line ends."""
-    return F.regexp_replace(value, r"[\r\n]+\z", "")
+    return F.when(value.endswith("\n") | value.endswith("\r"), F.regexp_replace(value, r"[\r\n]+\z", "")).otherwise(value)
 
 
 def all_pairs(line: Column) -> Column:
@@ -77,7 +86,7 @@ def first_value_of_line(line: Column, key: str) -> Column:
     if pattern is None:
         return F.lit(None).cast("string")
     pair = F.regexp_extract(line, seek(pattern).removesuffix(f"(?:{pattern})") + f"({pattern}(?:={VALUE})?+)", 1)
-    return F.when(pair != "", F.substring(pair, len(key) + 2, 2**31 - 1))
+    return bound(pair, lambda p: F.when(p != "", F.substring(p, len(key) + 2, 2**31 - 1)))
 
 
 def strip_quotes(v: Column) -> Column:
@@ -85,20 +94,32 @@ def strip_quotes(v: Column) -> Column:
     return F.when(quoted, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
 
-def _decoded(piece: Column) -> Column:
-    rest = F.substring(piece, 2, 1)
-    escape = F.when(rest == "n", "\n").when(rest == "r", "\r").when(rest == "t", "\t").otherwise(rest)
-    return F.when(piece.startswith("\\"), escape).otherwise(piece)
+def _decoded(body: Column) -> Column:
+    """Escapes without their backslashes; one at the very end is dropped.
+
+    Backslashes of a run pair up from its left. Between pairs each one stands before another character, so
+    the replacements don't meet each other's results.
+    """
+
+    def between(piece: Column) -> Column:
+        for code, plain in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\", "")):
+            piece = F.replace(piece, F.lit(code), F.lit(plain))
+        return piece
+
+    pairs = F.array_join(F.transform(F.split(body, r"\\\\", -1), between), "\\")
+    return F.when(F.contains(body, F.lit("\\\\")), pairs).when(F.contains(body, F.lit("\\")), between(body)).otherwise(body)
 
 
 def unescape(v: Column) -> Column:
     """The value that a raw one stands for."""
-    # the closing quote is one that no backslash escapes: an even run of backslashes before it
-    closed = F.length(v) >= 2
-    closed = closed & v.rlike(r'(?s)\A"[^"\\]*+(?:\\.[^"\\]*+)*+"\z')
-    body = F.when(closed, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(F.substring(v, F.lit(2), F.length(v)))
-    plain = F.when(F.contains(body, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(body, F.lit(_PIECE), F.lit(0)), _decoded), "")).otherwise(body)
-    return F.when(v.startswith('"'), plain).otherwise(v)
+
+    def plain(v: Column) -> Column:
+        # the closing quote is one that no backslash escapes: an even run of backslashes before it
+        closed = (F.length(v) >= 2) & v.endswith('"') & v.rlike(r'(?s)\A"[^"\\]*+(?:\\.[^"\\]*+)*+"\z')
+        body = F.substring(v, F.lit(2), F.length(v) - F.when(closed, 2).otherwise(0))
+        return F.when(v.startswith('"'), bound(body, _decoded)).otherwise(v)
+
+    return bound(v, plain)
 
 
 def escape(v: Column) -> Column:

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .logfmt import VALUE, key_pattern, seek, strip_quotes
+from .logfmt import VALUE, bound, key_pattern, seek, strip_quotes
 
 NS = 1_000_000_000
 _FORM = r"^(\d{4}-\d\d-\d\d)[Tt ](\d\d):(\d\d):(\d\d)(?:\.(\d{1,9}))?(?:[Zz]|([+-])(\d\d)(?::?(\d\d))?)?\z"
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is looked at."""
-    return F.transform(F.array(value), use)[0]
-
-
 def parse_ns(text: Column) -> Column:
     """RFC 3339 (no suffix: UTC; second 60 rolls over) as nanoseconds; null if it isn't one or doesn't fit.
 
@@ -23,7 +18,7 @@ def parse_ns(text: Column) -> Column:
     Spark's own timestamp; for all others the grammar is matched once, after which the places
     of all but fraction and zone are known.
     """
-    return _bound(text, lambda t: F.coalesce(_usual(t), _any_form(t)))
+    return bound(text, lambda t: F.coalesce(_usual(t), _any_form(t)))
 
 
 def _usual(t: Column) -> Column:
@@ -58,13 +53,13 @@ def _any_form(text: Column) -> Column:
         near = F.try_add(F.try_multiply(x["secs"] + 1, F.lit(NS).cast("bigint")), x["frac"] - NS)
         return F.coalesce(F.try_add(whole, x["frac"]), F.when(x["secs"] < 0, near))
 
-    return _bound(_bound(_bound(text, fields), seconds), nanoseconds)
+    return bound(bound(bound(text, fields), seconds), nanoseconds)
 
 
 def time_of(line: Column) -> Column:
     """Time of a line: of its first ``time`` or ``ts`` pair, which alone decides. No pairs are built."""
     raw = F.regexp_extract(line, seek(key_pattern("time", "ts")) + f"(?:=({VALUE}))?+", 1)
-    return parse_ns(_bound(raw, strip_quotes))
+    return parse_ns(bound(raw, strip_quotes))
 
 
 def format_ns(ns: Column, zone: str = "UTC") -> Column:

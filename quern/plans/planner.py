@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rows as out
+from ..functions.logfmt import once
 from ..operators import aggregates as agg
 from ..operators import slicing as cut
 from ..sources import logs
@@ -93,7 +94,7 @@ class Engine:
             df = cut.sorted_by(df, query.sort_by)
         elif not logs.in_order(self.files):
             df = df.orderBy(*logs.ORDER)
-        return df.select(cut.value_of(query.raw_key).alias("value")).where("value is not null")
+        return df.select(once(cut.value_of(query.raw_key)).alias("value")).where("value is not null")
 
     def selected(self, query: Query) -> DataFrame:
         """Matching lines, and those around them, in the order asked for, with ``matched``."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rows as text
-from ..functions.logfmt import first_value_of_line, logfmt_line
+from ..functions.logfmt import first_value_of_line, logfmt_line, once
 from ..functions.logfmt import unescape as decoded
 from ..functions.terminal import bar, sparkline
 from ..functions.times import format_ns
@@ -94,7 +94,7 @@ _RFC = "CASE WHEN microsecond({0}) % 1000000 = 0 THEN strftime({0}, '%Y-%m-%dT%H
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def parse_roundtrip_docs(spark, d):
     df = _parsed(views.documents(spark, d))
-    return df.select(F.col("row_id").alias("doc_id"), _value("text").alias("text")).where("text is not null")
+    return df.select(F.col("row_id").alias("doc_id"), once(_value("text")).alias("text")).where("text is not null")
 
 
 @query("SELECT page_id, url, html FROM pages WHERE html IS NOT NULL")
@@ -339,7 +339,7 @@ def rm_add(spark, d):
 
 @query("SELECT event_id, CAST(user_id AS VARCHAR) AS value FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL")
 def raw_key(spark, d):
-    return _events(spark, d).select(F.col("row_id").alias("event_id"), _value("bonus").alias("value")).where("value is not null")
+    return _events(spark, d).select(F.col("row_id").alias("event_id"), once(_value("bonus")).alias("value")).where("value is not null")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'purchase' THEN CAST(user_id AS VARCHAR) ELSE '' END, event_id) AS pos FROM events WHERE value > 50")

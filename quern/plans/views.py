@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.logfmt import logfmt_line
+from ..functions.logfmt import logfmt_line, once
 
 
 def stamp(ts: Column) -> Column:
@@ -16,7 +16,7 @@ def stamp(ts: Column) -> Column:
 def _lines(df: DataFrame, order: list[str], /, **fields: Column) -> DataFrame:
     """The parsed relation's columns before parsing; ``row_id`` numbers lines by ``order``."""
     row = F.col(order[0]) if len(order) == 1 else F.col(order[0]) * 100 + F.col(order[1])
-    return df.select(F.lit(0).alias("file_idx"), F.lit(0).cast("bigint").alias("block_start"), row.cast("bigint").alias("row_id"), logfmt_line(**fields).alias("value"))
+    return df.select(F.lit(0).alias("file_idx"), F.lit(0).cast("bigint").alias("block_start"), row.cast("bigint").alias("row_id"), once(logfmt_line(**fields)).alias("value"))
 
 
 def events(spark: SparkSession, sf_dir: str, part: int | None = None) -> DataFrame:
@@ -34,7 +34,7 @@ def tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose lines have the key ``tag`` twice: the kind, and whether the user is even or odd."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     line = F.concat_ws(" ", F.concat(F.lit("id="), F.col("event_id").cast("string")), F.concat(F.lit("tag="), F.col("event_type")), F.concat(F.lit("tag="), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")))
-    return df.select(F.lit(0).alias("file_idx"), F.lit(0).cast("bigint").alias("block_start"), F.col("event_id").alias("row_id"), line.alias("value"))
+    return df.select(F.lit(0).alias("file_idx"), F.lit(0).cast("bigint").alias("block_start"), F.col("event_id").alias("row_id"), once(line).alias("value"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Parsing, filters, aggregation and output over small logs, held against plain Python."""
 
 import random
+import re
 
 import pytest
 import zstandard
@@ -442,3 +443,27 @@ def test_seekable_archives_are_split_by_their_tables(spark, tmp_path, ends):
             assert got == lines, (case, split)
         if case == 3:
             assert output(Engine(spark, [str(path)])) == lines
+
+
+def test_runs_of_backslashes_are_decoded_from_their_left(spark):
+    """Escapes as pairs from the left, whatever stands behind them; a backslash at the very end is dropped."""
+    def plain(v):
+        body = v[1:-1] if re.fullmatch(r'"[^"\\]*(?:\\.[^"\\]*)*"', v, re.DOTALL) else v[1:]
+        return re.sub(r"\\(.?)", lambda m: {"n": "\n", "r": "\r", "t": "\t"}.get(m[1], m[1]), body, flags=re.DOTALL)
+
+    ends = ["", "n", "r", "t", "x", "0", "ä", "\U0001f600", "nn", "\n"]
+    bodies = [a + "\\" * i + b + "\\" * j + c for a in ("", "n") for i in range(5) for b in ends for j in range(5) for c in ("", "t", 'e"')]
+    texts = [f'"{x}' for x in bodies] + [f'"{x}"' for x in bodies]
+    got = spark.createDataFrame([(t,) for t in texts], "v string").select("v", logfmt.unescape(F.col("v")).alias("plain")).collect()
+    assert [(r.v, r.plain) for r in got if r.plain != plain(r.v)] == []
+
+
+@pytest.mark.parametrize("name", ["parse_roundtrip_docs"])
+def test_long_values_are_found_and_made_once(spark, small, name):
+    """One search in a line for each value and one line made for each row, filters included."""
+    from quern.plans import registry
+
+    df = registry.QUERIES[name](spark, small)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == len(df.columns) - 1
+    assert plan.count("concat_ws(") == 1
