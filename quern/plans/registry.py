@@ -100,7 +100,7 @@ def parse_roundtrip_docs(spark, d):
 @query("SELECT page_id, url, html FROM pages WHERE html IS NOT NULL")
 def parse_roundtrip_pages(spark, d):
     df = _parsed(views.pages(spark, d))
-    return df.select(F.col("row_id").alias("page_id"), _value("url").alias("url"), _value("html").alias("html")).where("html is not null")
+    return df.select(F.col("row_id").alias("page_id"), _value("url").alias("url"), once(_value("html")).alias("html")).where("html is not null")
 
 
 @query("SELECT event_id, CAST(6 + CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS n_pairs, false AS overflow FROM events WHERE event_type IS NOT NULL")

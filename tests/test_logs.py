@@ -458,7 +458,7 @@ def test_runs_of_backslashes_are_decoded_from_their_left(spark):
     assert [(r.v, r.plain) for r in got if r.plain != plain(r.v)] == []
 
 
-@pytest.mark.parametrize("name", ["parse_roundtrip_docs"])
+@pytest.mark.parametrize("name", ["parse_roundtrip_docs", "parse_roundtrip_pages"])
 def test_long_values_are_found_and_made_once(spark, small, name):
     """One search in a line for each value and one line made for each row, filters included."""
     from quern.plans import registry
