@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.logfmt import first_value_of_line, java_literal, key_pattern, seek, seek_twice, strip_quotes
+from ..functions.logfmt import bound, first_value_of_line, java_literal, key_pattern, seek, seek_twice, strip_quotes
 
 
 class FilterError(ValueError):
@@ -211,10 +211,14 @@ def _ordered(v: Column, op: str, value: str) -> Column:
         rank = level_rank(v)
         return F.when(rank.isNotNull(), compare(rank, F.lit(LEVELS[value.lower()]))).otherwise(as_text)
     if _PY_NUMBER.fullmatch(value):
-        number, right = to_number(v), float(value)
+        right = float(value)
         equal = F.lit(op in ("<=", ">="))  # a NaN on either side counts as equal
-        compared = equal if math.isnan(right) else F.when(F.isnan(number), equal).otherwise(compare(number, F.lit(right)))
-        return F.when(number.isNotNull(), compared).otherwise(as_text)
+
+        def compared(number: Column) -> Column:
+            test = equal if math.isnan(right) else F.when(F.isnan(number), equal).otherwise(compare(number, F.lit(right)))
+            return F.when(number.isNotNull(), test).otherwise(as_text)
+
+        return bound(to_number(v), compared)
     return as_text
 
 
@@ -347,9 +351,14 @@ def _in_line(tree: Pred, raw: Column, exact: Column) -> Column | None:
         if tree.op == "=":
             return raw.rlike(seek(key + same))
         return raw.rlike(seek(f"{key}(?!{same})")) | ~raw.rlike(seek(key))
-    first = strip_quotes(first_value_of_line(raw, tree.key))
-    test = first.rlike(java_regex(tree.value)) if tree.op == "=~" else _ordered(first, tree.op, tree.value)
-    return F.coalesce(test, F.lit(False)) | (raw.rlike(seek_twice(key)) & exact)
+
+    def holds(first: Column) -> Column:
+        return first.rlike(java_regex(tree.value)) if tree.op == "=~" else _ordered(first, tree.op, tree.value)
+
+    test = bound(bound(first_value_of_line(raw, tree.key), strip_quotes), holds)
+    # most lines don't even have the key's text twice
+    twice = (F.length(raw) - F.length(F.replace(raw, F.lit(tree.key), F.lit(""))) > len(tree.key)) & raw.rlike(seek_twice(key))
+    return F.coalesce(test, F.lit(False)) | (twice & exact)
 
 
 def to_column(tree, pairs: Column, raw: Column | None = None) -> Column:

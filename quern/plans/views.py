@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.logfmt import logfmt_line, once
+from ..functions.logfmt import escape, once
+
+#: Types whose texts never need quotes.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def stamp(ts: Column) -> Column:
@@ -16,7 +19,11 @@ def stamp(ts: Column) -> Column:
 def _lines(df: DataFrame, order: list[str], /, **fields: Column) -> DataFrame:
     """The parsed relation's columns before parsing; ``row_id`` numbers lines by ``order``."""
     row = F.col(order[0]) if len(order) == 1 else F.col(order[0]) * 100 + F.col(order[1])
-    return df.select(F.lit(0).alias("file_idx"), F.lit(0).cast("bigint").alias("block_start"), row.cast("bigint").alias("row_id"), once(logfmt_line(**fields)).alias("value"))
+    # texts are columns of their own first, as a line looks at each several times
+    kinds = [kind for _, kind in df.select(*fields.values()).dtypes]
+    texts = df.select(row.cast("bigint").alias("row_id"), *(v.cast("string").alias(f"field.{k}") for k, v in fields.items()))
+    value = F.concat_ws(" ", *(F.concat(F.lit(f"{k}="), (F.col if kind in NUMBERS else lambda x: escape(F.col(x)))(f"`field.{k}`")) for k, kind in zip(fields, kinds, strict=True)))
+    return texts.select(F.lit(0).alias("file_idx"), F.lit(0).cast("bigint").alias("block_start"), "row_id", once(value).alias("value"))
 
 
 def events(spark: SparkSession, sf_dir: str, part: int | None = None) -> DataFrame:

@@ -467,3 +467,22 @@ def test_long_values_are_found_and_made_once(spark, small, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract(") == len(df.columns) - 1
     assert plan.count("concat_ws(") == 1
+
+
+def test_lines_of_a_filter_are_made_and_searched_once(spark, small):
+    """The filter's value is found by one search, besides the two of the pattern for a key that a line has twice."""
+    from quern.plans import registry
+
+    plan = registry.QUERIES["lineitem_log_pricing"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") == plan.count("concat_ws(") == 1
+    assert plan.count("((?:flag)(?=") == plan.count("((?:status)(?=") == plan.count("((?:qty)(?=") == 1
+
+
+@pytest.mark.parametrize("test", ["aa>=5", "aa<5", "aa=~'^[5-9x]'", "aa>=m", "aa<=error"])
+def test_repeated_keys_are_told_from_repeated_text(spark, test):
+    from quern.plans.filters import parse, to_column
+
+    texts = ["aa=1 aa=9", "aa=9 aa=1", "aaa=9 aa=1", "aa=1 m=aa", "aaaa=7", "aa aa=6", "aa=x aa=7", "aa=info aa=fatal", 'm="aa=9" aa=1', 'aa="1" aa="9"', "aa=nan", "b=1", "aa=aa aa=aa"]
+    df = frame(spark, texts)
+    got = df.select("raw", to_column(parse(test), F.col("pairs"), F.col("raw")).alias("x"), to_column(parse(test), F.col("pairs")).alias("y")).collect()
+    assert [(r.raw, r.x) for r in got] == [(r.raw, bool(r.y)) for r in got]
